@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from citeloom.tables import load
 
-SQL: dict[str, str] = {}
-
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text, by the compiled transducer. No SQL: tested against the vocabulary's library."""
@@ -25,4 +23,32 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op9_benchmark_decontamination)}
+def op2_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text. No SQL: the random subsets have none; tested by brute force."""
+    from citeloom.llm.fingerprint import fingerprints
+
+    return fingerprints(load(spark, sf_dir, "documents"))
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    from citeloom.llm.mixing import mixture_report
+
+    return mixture_report(load(spark, sf_dir, "documents"))
+
+
+def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents. SQL would join all shingles: tested against brute force."""
+    from citeloom.llm.near import near_duplicates
+
+    return near_duplicates(load(spark, sf_dir, "documents"))
+
+
+def _sql() -> dict[str, str]:
+    from citeloom.llm.mixing import MIX_SQL
+
+    return {"op3_source_mixing": MIX_SQL}
+
+
+SQL: dict[str, str] = _sql()
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_imatch_fingerprints, op3_source_mixing, op9_benchmark_decontamination, op10_minmax_near_duplicates)}
