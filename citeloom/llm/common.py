@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from citeloom.session import settle, shared_dir, ship, spread
 
-__all__ = ["arrow_map", "settle", "shared_dir", "ship", "spread", "texts_of", "binary_of", "WORD"]
+__all__ = ["arrow_map", "settle", "shared_dir", "ship", "spread", "texts_of", "binary_of"]
 
-#: Fixed value: the word pattern that the contracts of several operators share, over lower-cased bytes.
-WORD = rb"[^\x20\x09-\x0D]+"
+
+# Words are maximal runs of other bytes than space and \t to \r: what bytes.split() gives.
 
 
 def binary_of(column: pa.Array) -> list[bytes]:

@@ -16,14 +16,13 @@ A text with few lexicon terms is fingerprinted by all its terms, one without ter
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import WORD, arrow_map, binary_of, spread
+from citeloom.llm.common import arrow_map, binary_of, spread
 
 LOW, HIGH = 1 / 2000, 1 / 20
 SUBSETS = 32
@@ -31,11 +30,10 @@ MAX_LEVEL = 20
 #: Texts with fewer lexicon terms are fingerprinted by all their terms.
 MIN_TERMS = 8
 EMPTY = "...."
-_WORDS = re.compile(WORD)
 
 
 def terms_of(text: str) -> set[bytes]:
-    return set(_WORDS.findall(text.encode().lower()))
+    return set(text.encode().lower().split())
 
 
 def _frequencies(batches):
@@ -49,7 +47,7 @@ def _frequencies(batches):
 
     for b in batches:
         for text in binary_of(b["text"]):
-            held.update(set(_WORDS.findall(text.lower())))
+            held.update(set(text.lower().split()))
             if len(held) > 400_000:
                 yield out()
                 held.clear()

@@ -143,9 +143,17 @@ def mix(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     dealt = here.join(plan, ["sid", "block"], "left").withColumn("units", F.coalesce("units", F.array().cast("array<struct<copy:int,shard:int,rest:double>>")))
     cut = F.exists("units", lambda x: x["rest"].isNotNull())
     within = Window.partitionBy("sid", "block").orderBy(_order("row", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), "doc_id", "size")
-    some = dealt.where(cut).withColumn("upto", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size") / 2)
-    both = dealt.where(~cut).withColumn("upto", F.lit(0.0)).unionByName(some)
-    kept = F.filter("units", lambda x: x["rest"].isNull() | (F.col("upto") <= x["rest"]))
+    # in the block where the target falls: rows in order as long as they fit, then the one that fits the gap best
+    block = Window.partitionBy("sid", "block")
+    some = dealt.where(cut).withColumn("cut", F.element_at(F.filter("units", lambda x: x["rest"].isNotNull()), 1)["rest"])
+    some = some.withColumn("upto", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    some = some.withColumn("fits", F.col("upto") <= F.col("cut"))
+    some = some.withColumn("gap", F.col("cut") - F.coalesce(F.max(F.when(F.col("fits"), F.col("upto"))).over(block), F.lit(0)))
+    some = some.withColumn("off", F.abs(F.col("size") - F.col("gap")))
+    some = some.withColumn("best", F.row_number().over(block.orderBy("fits", "off", _order("row", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), "doc_id", "size")))
+    some = some.withColumn("in", F.col("fits") | ((F.col("best") == 1) & (F.col("off") < F.col("gap"))))
+    both = dealt.where(~cut).withColumn("in", F.lit(True)).unionByName(some.drop("cut", "upto", "fits", "gap", "off", "best"))
+    kept = F.filter("units", lambda x: x["rest"].isNull() | F.col("in"))
     copies = F.transform(kept, lambda x: F.struct(x["copy"].alias("copy"), x["shard"].alias("shard"), _order("place", x["shard"], x["copy"], F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("position")))
     return both.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
@@ -174,9 +182,9 @@ t AS (SELECT *, [3, 1, 2][((sid - 1) % 3 + 1)::INT] AS weight, source_size * 2 A
 u AS (SELECT *, cap::DOUBLE / weight AS turn FROM t),
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - (sum(cap) OVER (ORDER BY turn, sid ROWS UNBOUNDED PRECEDING) - cap)::DOUBLE)
    / (sum(weight) OVER (ORDER BY turn, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM u),
-c AS (SELECT *, min(CASE WHEN turn > level THEN {'turn': turn, 'sid': sid, 'level': level} END) OVER () AS at FROM l),
+c AS (SELECT *, min(CASE WHEN turn > level THEN {'turn': turn, 'sid': sid, 'level': level} END) OVER () AS lev FROM l),
 g AS (SELECT sid, source, source_size, ceil(sqrt(documents))::BIGINT AS blocks,
-   CASE WHEN turn <= level THEN cap::DOUBLE ELSE at.level * weight END AS target FROM c),
+   CASE WHEN turn <= level THEN cap::DOUBLE ELSE lev.level * weight END AS target FROM c),
 here AS (SELECT d.doc_id, d.size, g.sid, g.source_size, g.target,
    ('0x' || substr(md5('block:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT % g.blocks AS block
    FROM sized d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
@@ -184,9 +192,13 @@ b AS (SELECT sid, block, sum(size)::BIGINT AS words, first(source_size) AS sourc
    coalesce(floor(first(target) / nullif(first(source_size), 0)), 0)::INT AS whole FROM here GROUP BY sid, block),
 q AS (SELECT *, target - whole * source_size - (sum(words) OVER (PARTITION BY sid ORDER BY md5('pass:' || sid || ':' || block), block ROWS UNBOUNDED PRECEDING) - words)::DOUBLE AS rest FROM b),
 r AS (SELECT h.*, q.whole, q.words, q.rest,
-   sum(h.size) OVER (PARTITION BY h.sid, h.block ORDER BY md5('row:' || coalesce(doc_id::VARCHAR, 'null')), doc_id, size ROWS UNBOUNDED PRECEDING) - h.size / 2.0::DOUBLE AS upto
-   FROM here h JOIN q USING (sid, block))
+   sum(h.size) OVER (PARTITION BY h.sid, h.block ORDER BY md5('row:' || coalesce(doc_id::VARCHAR, 'null')), doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+   FROM here h JOIN q USING (sid, block)),
+f AS (SELECT *, upto <= rest AS fits FROM r),
+e AS (SELECT *, rest - coalesce(max(CASE WHEN fits THEN upto END) OVER (PARTITION BY sid, block), 0)::DOUBLE AS gap FROM f),
+o AS (SELECT *, abs(size::DOUBLE - gap) AS off, row_number() OVER (PARTITION BY sid, block
+   ORDER BY fits, abs(size::DOUBLE - gap), md5('row:' || coalesce(doc_id::VARCHAR, 'null')), doc_id, size) AS best FROM e)
 SELECT doc_id, size, source_size, target,
-  (size * (whole + CASE WHEN rest > 0 AND (words <= rest OR upto <= rest) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM r
+  (size * (whole + CASE WHEN rest > 0 AND (words <= rest OR fits OR (best = 1 AND off < gap)) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM o
 """

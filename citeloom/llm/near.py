@@ -15,14 +15,13 @@ copies costs thousands of checks and not their square.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import WORD, arrow_map, binary_of, settle, spread
+from citeloom.llm.common import arrow_map, binary_of, settle, spread
 from citeloom.llm.components import components
 
 SHINGLE = 5
@@ -30,7 +29,6 @@ PERMUTATIONS = 64
 BANDS = 32
 PERCENT = 75
 MAX_ROUNDS = 6
-_WORDS = re.compile(WORD)
 _MASK = (1 << 64) - 1
 _rng = np.random.default_rng(20240607)
 _MULT = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,7 +105,7 @@ def _signatures(batches):
                 held = 0
 
         for i, text in enumerate(binary_of(b["text"])):
-            words = _WORDS.findall(text.lower())
+            words = text.lower().split()
             s = shingles(words)
             sizes.append(len(s))
             keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if len(s) else None)
@@ -124,7 +122,7 @@ def _signatures(batches):
 def _sets(batches):
     """Full sets as 6 bytes a shingle."""
     for b in batches:
-        blobs = [shingles(_WORDS.findall(t.lower())).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for t in binary_of(b["text"])]
+        blobs = [shingles(t.lower().split()).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for t in binary_of(b["text"])]
         yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(blobs, pa.binary())], names=["id", "words"])
 
 
