@@ -16,6 +16,34 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that are kept elsewhere. No SQL: SimHash blocks; tested by brute force."""
+    from citeloom.llm.lines import line_report
+
+    return line_report(load(spark, sf_dir, "documents"))
+
+
+def op6_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back. No SQL (SHA-1 in base 32): an exact round trip is tested."""
+    from citeloom.llm.warc import archive_report
+
+    return archive_report(load(spark, sf_dir, "pages"))
+
+
+def op7_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. No SQL: tested on pages with known text."""
+    from citeloom.llm.html import extract
+
+    return extract(load(spark, sf_dir, "pages"))
+
+
+def op8_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document. No SQL: tested by held-out accuracy."""
+    from citeloom.llm.quality import quality_report
+
+    return quality_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside benchmark windows. SQL would join all windows: tested against brute force."""
     from citeloom.llm.contamination import report
@@ -51,4 +79,17 @@ def _sql() -> dict[str, str]:
 
 
 SQL: dict[str, str] = _sql()
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_imatch_fingerprints, op3_source_mixing, op9_benchmark_decontamination, op10_minmax_near_duplicates)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_imatch_fingerprints,
+        op3_source_mixing,
+        op4_fuzzy_line_dedup,
+        op6_seekable_warc,
+        op7_template_extraction,
+        op8_factorisation_quality,
+        op9_benchmark_decontamination,
+        op10_minmax_near_duplicates,
+    )
+}
