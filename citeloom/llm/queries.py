@@ -23,6 +23,13 @@ def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(load(spark, sf_dir, "documents"))
 
 
+def op5_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every text. No SQL: seating is sampled; its counts are tested by brute force."""
+    from citeloom.llm.langmodel import score
+
+    return score(load(spark, sf_dir, "documents"))
+
+
 def op6_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back. No SQL (SHA-1 in base 32): an exact round trip is tested."""
     from citeloom.llm.warc import archive_report
@@ -86,6 +93,7 @@ QUERIES = {
         op2_imatch_fingerprints,
         op3_source_mixing,
         op4_fuzzy_line_dedup,
+        op5_pitman_yor_scores,
         op6_seekable_warc,
         op7_template_extraction,
         op8_factorisation_quality,
