@@ -9,3 +9,13 @@ SQL: dict[str, str] = {}
 def _add(module) -> None:
     QUERIES.update(module.QUERIES)
     SQL.update(module.SQL)
+
+
+def _fill() -> None:
+    from citeloom.plans import joins, scores, texts
+
+    for module in (texts, scores, joins):
+        _add(module)
+
+
+_fill()

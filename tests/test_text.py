@@ -1,0 +1,113 @@
+import random
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from citeloom.functions import extract as E
+from citeloom.functions import similarity as S
+from citeloom.functions import text as X
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b, 1):
+            new.append(row[j - 1] + 1 if x == y else max(row[j], new[-1]))
+        row = new
+    return row[-1]
+
+
+@given(st.text("abc ", max_size=20), st.text("abc ", max_size=20))
+def test_kernels_equal_plain_tables(a, b):
+    assert S.distance(a, b) == plain_distance(a, b)
+    assert S.common(a, b) == plain_common(a, b)
+    assert sum(S.edit_counts(a, b).values()) == plain_distance(a, b)
+
+
+@given(st.text("abcd", min_size=1, max_size=8), st.text("abcd", min_size=1, max_size=24))
+def test_alignment_is_the_best_window(a, b):
+    needle, hay = (a, b) if len(a) <= len(b) else (b, a)
+    m = len(needle)
+    best = max(2 * plain_common(needle, hay[max(0, s) : s + m]) / (m + len(hay[max(0, s) : s + m])) for s in range(1 - m, len(hay)))
+    assert S.align(needle, hay)[0] == pytest.approx(best)
+
+
+def test_long_texts_are_searched_around_shared_grams():
+    r = random.Random(4)
+    hay = "".join(r.choice("abcdefghij ") for _ in range(5000))
+    needle = hay[3000:3200]
+    assert S.align(needle, hay) == (1.0, 3000, 3200)
+    bent = needle[:90] + "zz" + needle[93:]
+    got, start, end = S.align(bent, hay)
+    assert got > 0.97 and abs(start - 3000) < 4 and abs(end - 3200) < 4
+
+
+def test_strict_folds_typography_only():
+    assert X.strict("“The LORD” — is…​") == '"The Lord" - is...'
+    assert X.strict("lord") != X.strict("Lord")
+    assert X.strict("ABC1 and a1BC") == "Abc1 and a1Bc"
+
+
+def test_loose_folds_case_marks_and_pointing():
+    assert X.loose("«Straße», ja!") == "strasse ja"
+    assert X.loose("بِسْم") == X.loose("بسم")
+    assert X.loose("a b　c") == "a b c"
+    assert X.loose(X.loose("Some, TEXT.")) == X.loose("Some, TEXT.")
+
+
+def test_refusals_with_curly_apostrophes():
+    assert X.is_refusal("I can’t provide that verse.")
+    assert X.is_refusal("申し訳ありません")
+    assert not X.is_refusal("In the beginning")
+    assert X.has_denial("It does  NOT\nexist here", ["does not exist"])
+    assert not X.has_denial("x", ["", "y"])
+
+
+def test_quotes():
+    t = 'He said "one two three four" and "no".\n> a block of quoted text\n> over lines\n« cinq mots dans ces marques »'
+    got = E.quotes(t)
+    assert [q[0].strip() for q in got] == ["one two three four", "a block of quoted text over lines", "cinq mots dans ces marques"]
+    assert all(t[s:e] for _, s, e in got)
+    assert E.quotes("「" + "你" * 12 + "」")[0][0] == "你" * 12
+    assert E.quotes("") == [] and E.quotes('"a b c d') == []
+
+
+def test_sentences_and_references():
+    assert [s[0] for s in E.sentences("One two three four. No. Five six seven eight!\n\nNine ten eleven twelve")] == ["One two three four", "Five six seven eight", "Nine ten eleven twelve"]
+    find = E.References({"John": "JHN", "1 John": "1JN", "Song of Songs": "SNG", "Song": "XXX"}).find
+    assert [r[0] for r in find("1 John 4:8 and John 3:16-18, Song of Songs 2.1 Johnny 3:1")] == ["1JN.4.8", "JHN.3.16", "SNG.2.1"]
+
+
+def test_verse_spans_join_parts_and_merge():
+    page = (
+        '<div><span class="verse" data-usfm="GEN.1.1"><span class="label">1</span><span class="content">In the </span><span class="note"><span class="content">no</span></span></span>'
+        '<span class="verse" data-usfm="GEN.1.1"><span class="content">beginning</span></span><span class="verse" data-usfm="GEN.1.2+GEN.1.3"><span class="content">m</span></span></div>'
+    )
+    assert E.verse_spans(page) == [("GEN.1.1", 1, "In the beginning", "GEN.1.1"), ("GEN.1.2", 2, "m", "GEN.1.2+GEN.1.3")]
+    assert E.verse_spans("") == []
+
+
+def test_json_in_prose():
+    assert X.json_in('Sure:\n```json\n{"a": 1}\n```') == '{"a": 1}'
+    assert X.json_in("so {'a': True} done") == '{"a": true}'
+    assert X.json_in("none") is None
+
+
+def test_word_rates_and_diff():
+    assert S.word_error_rate("a b c", "a x c") == pytest.approx(1 / 3)
+    assert S.word_error_rate("a", "a") is None
+    assert S.word_error_rate("你好 你", "你好 你") is None
+    got = S.word_diff("the old cat", "the new cat")
+    assert "".join(t for t, k in got if k != "added") == "the old cat" and "".join(t for t, k in got if k != "removed") == "the new cat"
