@@ -12,7 +12,6 @@ Memory: an automaton has at most 2 states a word. Items are put into parts of at
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -168,8 +167,13 @@ def _parts(items: DataFrame, window: int, part_words: int) -> Iterator[SuffixAut
     yield SuffixAutomaton(part, window)
 
 
+#: Columns that match() adds; their names leave those of the documents free.
+FOUND = ("__n_words", "__spans", "__items")
+
+
 def match(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
-    """The columns `keep` of docs with n_words, spans (flat [start, end) word offsets) and items (ids found).
+    """The columns `keep` of docs with the columns FOUND: number of words, spans (flat [start, end) word offsets)
+    and items found.
 
     Null and empty texts have no words and no hits. An item without words is never found; items
     that share an id count as one; a null id is shown as "". Repeated documents each get a row.
@@ -177,9 +181,9 @@ def match(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WIND
     """
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)
-    df = docs.select(*dict.fromkeys([*keep, "text"]), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    df = spread(df)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in dict.fromkeys([*keep, "text"])] + ["n_words long", "spans array<int>", "items array<string>"])
+    names = [*dict.fromkeys([*keep, "text"])]
+    df = spread(docs.select(*names, F.lit(0).cast("long").alias(FOUND[0]), F.array().cast("array<int>").alias(FOUND[1]), F.array().cast("array<string>").alias(FOUND[2])))
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"{FOUND[0]} long, {FOUND[1]} array<int>, {FOUND[2]} array<string>"])
     for automaton in _parts(items, window, part_words):
         sent = spark.sparkContext.broadcast(automaton)
 
@@ -187,19 +191,25 @@ def match(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WIND
             a = sent.value
             for b in batches:
                 n, spans, found = [], [], []
-                for text, s0, f0 in zip(binary_of(b["text"]), b["spans"].to_pylist(), b["items"].to_pylist(), strict=True):
+                for text, s0, f0 in zip(binary_of(b["text"]), b[FOUND[1]].to_pylist(), b[FOUND[2]].to_pylist(), strict=True):
                     words = words_of(text)
                     s, f = a.scan(words)
                     n.append(len(words))
                     spans.append([x for p in merged([*zip(s0[::2], s0[1::2], strict=True), *s]) for x in p])
                     found.append(sorted({*f0, *f}))
-                new = {"n_words": pa.array(n, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int32())), "items": pa.array(found, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([new.get(c, b[c] if c not in new else None) for c in b.schema.names], names=b.schema.names)
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], names=[*names, *FOUND])
 
         df = arrow_map(df, scan, schema)
     return df
 
 
+def _hit_words():
+    """Words within the spans."""
+    starts = F.filter(FOUND[1], lambda x, i: i % 2 == 0)
+    ends = F.filter(FOUND[1], lambda x, i: i % 2 == 1)
+    return F.aggregate(F.zip_with(starts, ends, lambda s, e: (e - s).cast("long")), F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
@@ -229,15 +239,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_w
     """
     kinds = dict(docs.dtypes)
     names = docs.columns
-    df = match(docs, items, names, window)
+    df = match(docs, items, names, window).where(_hit_words() <= F.col(FOUND[0]) * F.lit(max_coverage))
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
-    covered = F.expr("aggregate(transform(sequence(0, greatest(size(spans) - 2, 0), 2), i -> coalesce(try_element_at(spans, i + 2) - try_element_at(spans, i + 1), 0)), 0, (a, x) -> a + x)")
-    df = df.where(covered <= F.col("n_words") * F.lit(max_coverage))
 
     def clean(batches):
         for b in batches:
             texts = b["text"].cast(pa.binary()).to_pylist()
-            for i, s in enumerate(b["spans"].to_pylist()):
+            for i, s in enumerate(b[FOUND[1]].to_pylist()):
                 if s:
                     texts[i] = cut(texts[i], s, min_words)
             text = pa.array([None if t is None else t.decode("utf-8", "replace") for t in texts], b.schema.field("text").type)
@@ -248,19 +256,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_w
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document: words, hit words and the items found, as a digest."""
-    hit = F.expr("aggregate(transform(sequence(0, greatest(size(spans) - 2, 0), 2), i -> coalesce(try_element_at(spans, i + 2) - try_element_at(spans, i + 1), 0)), 0L, (a, x) -> a + x)")
-    return (
-        match(docs, items, ["doc_id"])
-        .select(
-            "doc_id",
-            "n_words",
-            hit.alias("n_hit"),
-            F.size("items").cast("long").alias("n_items"),
-            F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        )
-        .withColumn("contaminated", F.col("n_hit") > 0)
+    found = match(docs, items, ["doc_id"]).select(
+        "doc_id",
+        F.col(FOUND[0]).alias("n_words"),
+        _hit_words().alias("n_hit"),
+        F.size(FOUND[2]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(FOUND[2], ","), 256).alias("items_sha256"),
     )
-
-
-def items_digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+    return found.withColumn("contaminated", F.col("n_hit") > 0)

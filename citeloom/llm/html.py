@@ -227,13 +227,15 @@ def main_text(page: str, template: list[tuple[int, int]] | None = None) -> str:
         klass = dict(template)
         good = _valid(toks, order, klass)
         drop = {i for i, t in enumerate(toks) if found[i][0] and t in klass and klass[t] in good}
-    body = [i for i, n in enumerate(found) if n[0] and not n[3] and i not in drop]
+    body = [i for i, n in enumerate(found) if n[0] and not n[3]]
     inside = [i for i in body if found[i][4]]
     blocks: list[list[int]] = []
     for i in inside or body:
         if found[i][6] or not blocks or any(found[j][6] for j in range(blocks[-1][-1] + 1, i)):
             blocks.append([])
         blocks[-1].append(i)
+    # a block with anything of the page's own is a slot as a whole
+    blocks = [b for b in blocks if not all(i in drop or not found[i][2].strip() for i in b)]
     if not inside:
         blocks = [b for b in blocks if sum(len(found[i][2].strip()) for i in b if found[i][5]) * 2 <= sum(len(found[i][2].strip()) for i in b)]
     parts = [" ".join("".join(found[i][2] for i in b).split()) for b in blocks]

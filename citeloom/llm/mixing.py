@@ -167,9 +167,9 @@ def mixed_documents(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
 
     Rows that share a doc_id are taken by their common id: of such rows each gets the most copies of any.
     """
-    drawn = mix(docs, levels).where(F.size("copies") > 0).select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("its_copies"))
-    out = docs.join(drawn.withColumnRenamed("doc_id", "its_id"), F.col("doc_id").eqNullSafe(F.col("its_id")))
-    return out.select(*docs.columns, F.explode("its_copies").alias("its_copy")).select(*docs.columns, F.col("its_copy.copy").alias("mix_copy"), F.col("its_copy.shard").alias("mix_shard"), F.col("its_copy.position").alias("mix_position"))
+    drawn = mix(docs, levels).where(F.size("copies") > 0).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
+    out = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*docs.columns, F.explode("__copies").alias("__copy"))
+    return out.select(*docs.columns, F.col("__copy.copy").alias("mix_copy"), F.col("__copy.shard").alias("mix_shard"), F.col("__copy.position").alias("mix_position"))
 
 
 #: The same mix for the checking engine; which shard a copy goes to is not part of the report.
