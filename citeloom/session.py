@@ -14,8 +14,11 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that UDFs import it there."""
+    """Send this package to the executors once per application, so that UDFs import it there, and bound the
+    batches that go to Python: texts are long, and the default of 10,000 rows is meant for narrow ones."""
     app = spark.sparkContext.applicationId
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent
