@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from citeloom.llm.common import arrow_map, settle
 from citeloom.llm.components import components
 
-MAX_ROUNDS = 6
+#: Rounds with other centres before what is left is checked pair by pair.
+MAX_ROUNDS = 2
 
 
 def _around_centres(batches):
@@ -63,11 +64,13 @@ def stars(rows: DataFrame) -> DataFrame:
     return settle(arrow_map(dealt, _around_centres, f"bucket long, id {kinds['id']}, n {kinds['n']}, centre {kinds['id']}, centre_n {kinds['n']}"), "stars")
 
 
-def linked(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], close: Callable[[str, str], Column], sketches: DataFrame | None = None, alike: Callable[[str, str], Column] | None = None) -> DataFrame:
+def linked(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], close: Callable[[str, str], Column], sketches: Callable[[DataFrame], DataFrame] | None = None, alike: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(id, component) of all ids with a link; component is the least id reachable.
 
     members: what stars() gives. confirm(pairs (a, b), a > b) keeps the linked pairs. close(n, n) tells
-    whether two sizes allow a link at all, alike(sketch, sketch) whether the sketches (id, sketch) do.
+    whether two sizes allow a link at all, alike(sketch, sketch) whether the sketches do. sketches(ids)
+    gives id, sketch, bands (all buckets of the id, so that a pair is met in the first bucket it shares only);
+    they are made for ids that are left to be checked pair by pair, of which there are few.
     """
     tested = settle(members.where("id <> centre").where(close("n", "centre_n")).select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
     links = settle(confirm(tested), "links")
@@ -81,19 +84,21 @@ def linked(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], close:
         if not pairs:
             break
         if sketches is not None:
-            rest = rest.join(sketches, "id")
-        kept = ["bucket", "id", "n", "component"] + (["sketch"] if sketches is not None else [])
-        last = k == MAX_ROUNDS or pairs <= 50 * rows
+            rest = rest.join(settle(sketches(settle(rest.select("id").distinct(), "left")), "sketches"), "id")
+        kept = ["bucket", "id", "n", "component"] + (["sketch", "bands"] if sketches is not None else [])
+        last = k == MAX_ROUNDS or pairs <= 200 * rows
         if last:
             other = rest
         else:
             turn = rest.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), *kept)).alias("c"))
             other = settle(turn.select("bucket", *[f"c.{x}" for x in kept[1:]]), "turn")
-        other = other.select("bucket", *[F.col(x).alias(f"{x}_2") for x in kept[1:]])
+        other = other.select(*[F.col(x).alias(f"{x}_2") for x in kept])
         fits = close("n", "n_2") & (F.col("component") < F.col("component_2") if last else F.col("component") != F.col("component_2"))
         if alike is not None:
             fits = fits & alike("sketch", "sketch_2")
-        more = rest.join(other, (rest["bucket"] == other["bucket"]) & fits)
+            if last:
+                fits = fits & (F.element_at(F.array_intersect("bands", "bands_2"), 1) == F.col("bucket"))
+        more = rest.join(other, (F.col("bucket") == F.col("bucket_2")) & fits)
         more = settle(more.select(F.greatest("id", "id_2").alias("a"), F.least("id", "id_2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "more")
         links = links.unionByName(settle(confirm(more), "links"))
         tested = tested.unionByName(more)
