@@ -41,7 +41,7 @@ class _Slots(dict):
         import xxhash
 
         slot = xxhash.xxh3_64_intdigest(word) % WORD_SLOTS
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = slot
         return slot
@@ -102,7 +102,8 @@ class FactorisationMachine:
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.08, decay: float = 1e-5) -> FactorisationMachine:
         """Minibatches with per-weight step sizes; rows in a fixed shuffled order."""
-        if not len(rows):
+        if not len(rows):  # nothing to learn from: all scores are 0.5
+            self.v[:] = 0
             return self
         stats = np.array([s for _, s in rows])
         self.mean, self.scale = stats.mean(axis=0), stats.std(axis=0) + 1e-6
@@ -148,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Factori
     known = labels.where("quality is not null and doc_id is not null").where(fold() != 0).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = known.count()
     if not n:
-        return FactorisationMachine()
+        return FactorisationMachine().fit([], np.empty(0))
     limit = int(min(1.0, rows / n) * 1_000_000)
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < limit)
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "quality")  # bounded by `rows`
