@@ -400,3 +400,14 @@ def test_factorisation_identity():
     at, x = np.array([1, 5, 9, 70000]), np.array([0.5, 1.0, -2.0, 0.3])
     pairs = sum(m.v[at[i]] @ m.v[at[j]] * x[i] * x[j] for i in range(4) for j in range(i))
     assert m.raw(at, x) == pytest.approx(m.bias + m.w[at] @ x + pairs)
+
+
+def test_similar_equals_the_plain_rule():
+    r = random.Random(9)
+    for _ in range(2000):
+        a = "".join(r.choice("ab ") for _ in range(r.randint(0, 24)))
+        b = list(a)
+        for _ in range(r.randint(0, 6)):
+            b[r.randrange(len(b) + 1) : r.randrange(len(b) + 1)] = r.choice("ab ")
+        b = "".join(b)
+        assert L.similar(a, b, 0.75) == (a == b or L.distance(a, b) <= int(0.25 * max(len(a), len(b))))
