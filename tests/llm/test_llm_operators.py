@@ -205,6 +205,26 @@ def test_fuzzy_lines_are_found_and_the_first_stays(spark):
     assert sum(got[10 + i] == [0] for i in range(20)) >= 12  # of one word in eighty changed, most share a block
 
 
+def test_lines_with_one_word_changed_are_found_at_every_length(spark):
+    r = random.Random(5)
+    known = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 10))) for _ in range(3000)]
+    rows, of = [], {}
+    for low_, high in ((5, 9), (10, 19), (20, 39), (40, 79), (80, 160)):
+        n = 0
+        while n < 40:
+            words = [r.choice(known) for _ in range(r.randint(low_, high))]
+            other = list(words)
+            other[r.randrange(len(words))] = r.choice(known)
+            if other != words and L.similar(" ".join(words), " ".join(other)):  # by the whole edit distance
+                rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+                of[len(rows) - 1] = low_
+                n += 1
+    got = {x["doc_id"]: x["dropped"] for x in L.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = collections.Counter(low_ for i, low_ in of.items() if got[i] == [0])
+    assert all(found[low_] >= 39 for low_ in (5, 10, 20, 40, 80)), found
+    assert not any(got[i - 1] for i in of)
+
+
 def test_line_texts_by_join_and_by_broadcast_agree(spark, docs, monkeypatch):
     want = {r["doc_id"]: r["dropped"] for r in L.line_report(docs).collect()}
     monkeypatch.setattr(L, "SENT_KEYS", 0)
