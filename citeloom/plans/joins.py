@@ -31,7 +31,7 @@ def sibling_extra_members(spark, sf_dir):
     """Suppliers as editions of their nation, parts as books: the sibling with most parts one lacks, and its two dearest."""
     li = load(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("weight")).where("weight <= 3")
+    p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").alias("weight"))
     m = li.join(p, "l_partkey").join(s, "l_suppkey")
     return Q.absent_members(m, "l_suppkey", "l_partkey", "s_nationkey")
 

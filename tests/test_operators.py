@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +219,27 @@ def test_queries_have_matching_registrations():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 60
+
+
+def stored(spark, at, **tables):
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{at}/{name}.parquet")
+    return str(at)
+
+
+def test_sibling_extra_members_over_parts_of_all_sizes(spark, tmp_path):
+    from citeloom.plans.joins import sibling_extra_members
+
+    r = random.Random(4)
+    nation, weight = {s: s % 3 for s in range(1, 12)}, {p: r.randint(1, 50) for p in range(1, 40)}
+    has = {s: set(r.sample(sorted(weight), r.randint(3, 15))) for s in nation}
+    lines = [(s, p) for s in has for p in has[s]] * 2
+    at = stored(spark, tmp_path, lineitem=(lines, "l_suppkey long, l_partkey long"), supplier=([*nation.items()], "s_suppkey long, s_nationkey int"), part=([*weight.items()], "p_partkey long, p_size int"))
+    want = []
+    for s in has:
+        extra = {o: has[o] - has[s] for o in has if o != s and nation[o] == nation[s] and has[o] - has[s]}
+        if extra:
+            o = min(extra, key=lambda x: (-len(extra[x]), x))
+            want += [(s, o, len(extra[o]), p, k) for k, p in enumerate(sorted(extra[o], key=lambda p: (-weight[p], p))[:2], 1)]
+    out = sibling_extra_members(spark, at)
+    assert rows(out.select("l_suppkey", "sibling", "extra", "l_partkey", "place")) == sorted(want) and any(weight[x[3]] > 3 for x in want)
