@@ -13,12 +13,14 @@ from citeloom.tables import load
 
 
 def two_round_identification(spark, sf_dir):
-    """Customers as spans, suppliers of their region as editions, those of another nation foreign."""
+    """Customers as spans, suppliers of their region as editions, those of another nation foreign; the best is found once a nation."""
     n = load(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    c = load(spark, sf_dir, "customer").where("c_acctbal > 9000").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_nationkey", "n_regionkey")
+    c = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     s = load(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_nationkey", F.col("n_regionkey").alias("region"), F.col("s_acctbal").alias("score"))
-    found = c.join(s, F.col("n_regionkey") == F.col("region")).withColumn("foreign", F.col("c_nationkey") != F.col("s_nationkey"))
-    return N.two_rounds(found, "c_custkey", "foreign", "score", "s_suppkey", 6000, 9000)
+    at = n.select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    found = at.join(s, F.col("n_regionkey") == F.col("region")).withColumn("foreign", F.col("c_nationkey") != F.col("s_nationkey"))
+    best = N.two_rounds(found, "c_nationkey", "foreign", "score", "s_suppkey", 6000, 9000)
+    return c.join(best, "c_nationkey").select("c_custkey", "s_suppkey", "score", "round")
 
 
 def citation_reality(spark, sf_dir):

@@ -243,3 +243,21 @@ def test_sibling_extra_members_over_parts_of_all_sizes(spark, tmp_path):
             want += [(s, o, len(extra[o]), p, k) for k, p in enumerate(sorted(extra[o], key=lambda p: (-weight[p], p))[:2], 1)]
     out = sibling_extra_members(spark, at)
     assert rows(out.select("l_suppkey", "sibling", "extra", "l_partkey", "place")) == sorted(want) and any(weight[x[3]] > 3 for x in want)
+
+
+def test_two_round_identification_takes_every_customer(spark, tmp_path):
+    from citeloom.plans.rounds import two_round_identification
+
+    r = random.Random(6)
+    nations = [(i, i // 4) for i in range(12)]
+    suppliers = [(k, r.randrange(12), float(r.randrange(4000, 10000, 500))) for k in range(1, 25)]
+    customers = [(k, r.randrange(12), r.uniform(-900, 9900)) for k in range(1, 80)]
+    at = stored(spark, tmp_path, nation=(nations, "n_nationkey int, n_regionkey int"), supplier=(suppliers, "s_suppkey long, s_nationkey int, s_acctbal double"), customer=(customers, "c_custkey long, c_nationkey int, c_acctbal double"))
+    want = []
+    for c, n, _ in customers:
+        home = [(-x, s) for s, m, x in suppliers if m == n and x >= 6000]
+        away = [(-x, s) for s, m, x in suppliers if m != n and m // 4 == n // 4 and x >= 9000]
+        if home or away:
+            x, s = min(home or away)
+            want.append((c, s, -x, 1 if home else 2))
+    assert rows(two_round_identification(spark, at)) == sorted(want) and {x[3] for x in want} == {1, 2}
