@@ -111,3 +111,19 @@ def test_word_rates_and_diff():
     assert S.word_error_rate("你好 你", "你好 你") is None
     got = S.word_diff("the old cat", "the new cat")
     assert "".join(t for t, k in got if k != "added") == "the old cat" and "".join(t for t, k in got if k != "removed") == "the new cat"
+
+
+def test_alignment_in_long_texts_equals_trying_every_window():
+    r = random.Random(8)
+    words = ["".join(r.choice("abcde") for _ in range(r.randint(2, 7))) for _ in range(60)]
+    for n in (1, 3, 40, 110, 160):
+        for _ in range(4):
+            text = " ".join(r.choice(words) for _ in range(n))
+            needle = " ".join(r.choice(words) for _ in range(r.randint(1, 9)))[: len(text)]
+            m, best = len(needle), (0.0, 0, 0)
+            for s in range(1 - m, len(text)):
+                lo, hi = max(0, s), min(len(text), s + m)
+                x = S.ratio(needle, text[lo:hi])
+                if x > best[0]:
+                    best = (x, lo, hi)
+            assert S.align(needle, text) == best
