@@ -119,8 +119,6 @@ class Transducer:
         return state, n
 
     def unit(self, text: str) -> int:
-        if len(self.states) > self.max_states:  # bounded memory: compile anew
-            self._reset()
         return self.run(self.START, text)[1]
 
     def chunk_map(self, chunk: str) -> ChunkMap:
@@ -158,10 +156,10 @@ class Transducer:
         if not text:
             return 0
         text = MARK + text.replace(" ", MARK)
+        if len(self.states) > self.max_states:  # compile anew, but never within a text, whose chunk maps hold states
+            self._reset()
         if len(text) <= chunk:
             return sum(map(self.counts.__getitem__, self.units.findall(text)))
-        if len(self.states) > self.max_states:
-            self._reset()
         whole = self.scan([self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)])[-1]
         return whole.count + self.run(self.START, whole.head)[1]
 

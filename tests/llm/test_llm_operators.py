@@ -431,3 +431,12 @@ def test_similar_equals_the_plain_rule():
             b[r.randrange(len(b) + 1) : r.randrange(len(b) + 1)] = r.choice("ab ")
         b = "".join(b)
         assert L.similar(a, b, 0.75) == (a == b or L.distance(a, b) <= int(0.25 * max(len(a), len(b))))
+
+
+def test_states_stay_while_a_long_text_is_counted():
+    r = random.Random(2)
+    vocabulary = T.Vocabulary(VOCAB)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(900)]
+    text = " ".join(words)
+    want = T.Transducer(vocabulary).count(text)
+    assert T.Transducer(vocabulary, max_states=50, max_units=10).count(text, chunk=200) == want
