@@ -36,7 +36,7 @@ _PART = re.compile(r"[a-z0-9]+")
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
-AWAY = frozenset("nav header footer aside form head title script style noscript template iframe svg button select option textarea dialog menu figcaption object canvas audio video map".split())
+AWAY = frozenset("nav header footer aside form head title script style noscript template iframe svg button select option textarea dialog menu object canvas audio video map".split())
 CLOSES_P = frozenset("p div ul ol li h1 h2 h3 h4 h5 h6 table section article aside nav header footer form blockquote pre hr main dl figure address".split())
 #: Words in class, id or role that mark what is not the article.
 AWAY_WORDS = frozenset(

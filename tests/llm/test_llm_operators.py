@@ -440,3 +440,8 @@ def test_states_stay_while_a_long_text_is_counted():
     text = " ".join(words)
     want = T.Transducer(vocabulary).count(text)
     assert T.Transducer(vocabulary, max_states=50, max_units=10).count(text, chunk=200) == want
+
+
+def test_captions_in_the_article_stay():
+    page = "<html><body><nav>Menu here</nav><article><p>The text of the article.</p><figure><img src='x'><figcaption>What the picture shows.</figcaption></figure></article></body></html>"
+    assert "What the picture shows." in H.main_text(page) and "Menu" not in H.main_text(page)
