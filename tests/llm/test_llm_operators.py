@@ -225,6 +225,12 @@ def test_lines_with_one_word_changed_are_found_at_every_length(spark):
     assert not any(got[i - 1] for i in of)
 
 
+def test_short_lines_and_lines_without_spaces_stay_once(spark):
+    rows = [(1, "Read more\n\na\n" + "\u6f22\u5b57\u4eee\u540d" * 12), (2, "read more!\n\nA\nb"), (3, "\u6f22\u5b57\u4eee\u540d" * 12 + "\nunlike\nread no more")]
+    got = {x["doc_id"]: x["dropped"] for x in L.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0, 2], 3: [0]}
+
+
 def test_line_texts_by_join_and_by_broadcast_agree(spark, docs, monkeypatch):
     want = {r["doc_id"]: r["dropped"] for r in L.line_report(docs).collect()}
     monkeypatch.setattr(L, "SENT_KEYS", 0)
