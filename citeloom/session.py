@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -15,10 +16,12 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that UDFs import it there, and bound the
-    batches that go to Python: texts are long, and the default of 10,000 rows is meant for narrow ones."""
+    batches that go to Python: texts are long, and the defaults of 10,000 rows and 64 MB are meant for narrow
+    ones. Settings that the session has changed itself stay as they are."""
     app = spark.sparkContext.applicationId
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    for name, default, ours in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864b", "4m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", default).rstrip("b") == default.rstrip("b"):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", ours)
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent
@@ -33,23 +36,44 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the session names none, as in tests on one machine, a folder of this machine is used.
+    Where the session names none, a folder of this machine serves if all tasks run in this process;
+    on a cluster its executors could not see each other's files, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file:///tmp/citeloom-shared"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.gettempdir()}/citeloom-shared"
     return named.rstrip("/")
 
 
+_written: dict[str, list[str]] = {}
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and return the reread table: lineage ends here,
     so a lost executor costs a reread and not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/citeloom-{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession) -> list[str]:
+    """Tables that settle() has written in this application and that were not removed."""
+    return list(_written.get(spark.sparkContext.applicationId, ()))
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables of settle() that nothing reads any more."""
+    held = _written.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        held.remove(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out when a small file gives fewer partitions than there are cores."""
     cores = df.sparkSession.sparkContext.defaultParallelism
