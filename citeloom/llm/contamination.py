@@ -6,23 +6,27 @@ A match of `window` words or more covers an occurrence of a window; an item shor
 is one window of its own. No join is made and no candidate is dropped, so a very common passage
 costs no more than any other.
 
-Memory: an automaton has at most 2 states a word. Items are put into parts of at most
-`part_words` words; each part is a broadcast of bounded size and one more narrow pass.
+Memory: an automaton has at most 2 states a word, kept in flat arrays; a state with more than one
+transition, of which there are few, has a table besides. Items are put into parts of at most
+`part_words` words, each a broadcast of bounded size; a pass takes at most PASS_PARTS of them, and
+what it found is written before the next one begins.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import arrow_map, binary_of, spread
+from citeloom.llm.common import arrow_column, binary_of, settle, spread
 
 WINDOW = 10
-PART_WORDS = 1_000_000
+PART_WORDS = 200_000
+PASS_PARTS = 10
 #: Over lower-cased UTF-8 bytes this is the word class of the contract: digits, a-z, all beyond ASCII.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -44,6 +48,7 @@ class SuffixAutomaton:
             for c in ids:
                 last = self._extend(last, c)
         self._annotate(coded)
+        self._flatten()
         self.shortest = min((min(len(ids), window) for _, ids in coded), default=0)
 
     def _new(self, step: dict[int, int], link: int, length: int) -> int:
@@ -76,27 +81,45 @@ class SuffixAutomaton:
         return cur
 
     def _annotate(self, coded: list[tuple[str, list[int]]]) -> None:
-        """which: the items that hold a state's strings; whole: short items that end in a state."""
-        which: list[set[str]] = [set() for _ in self.step]
-        self.whole: dict[int, list[tuple[int, str]]] = {}
+        """reduced: for states of `window` words or more, the state of their last `window` words; which: the items
+        behind such a state; short: the nearest state on the way of suffix links, the state itself included,
+        that ends a whole item of fewer words, which `whole` lists."""
+        window, link, length = self.window, self.link, self.length
+        by_length = sorted(range(len(length)), key=length.__getitem__)
+        self.reduced = array("i", bytes(4 * len(length)))
+        for v in by_length:
+            if length[v] >= window:
+                self.reduced[v] = v if length[link[v]] < window else self.reduced[link[v]]
+        self.which: dict[int, str | set[str]] = {}
+        self.whole: dict[int, dict[int, set[str]]] = {}
         for key, ids in coded:
             v = 0
             for c in ids:
                 v = self.step[v][c]
-                u = v
-                while u > 0 and key not in which[u]:
-                    which[u].add(key)
-                    u = self.link[u]
-            if len(ids) < self.window:
-                while self.length[self.link[v]] >= len(ids):
-                    v = self.link[v]
-                self.whole.setdefault(v, []).append((len(ids), key))
-        self.which = {v: frozenset(x) for v, x in enumerate(which) if x}
-
-    def _window_state(self, v: int) -> int:
-        while self.length[self.link[v]] >= self.window:
-            v = self.link[v]
-        return v
+                if length[v] >= window:
+                    seen = self.which.setdefault(self.reduced[v], key)
+                    if seen != key:  # a set only where items share a window
+                        self.which[self.reduced[v]] = (seen if isinstance(seen, set) else {seen}) | {key}
+            if len(ids) < window:
+                while length[link[v]] >= len(ids):
+                    v = link[v]
+                self.whole.setdefault(v, {}).setdefault(len(ids), set()).add(key)
+        self.short = array("i", bytes(4 * len(length)))
+        for v in by_length[1:]:
+            self.short[v] = v if v in self.whole else self.short[link[v]]
+
+    def _flatten(self) -> None:
+        """Transitions as arrays: the only one of a state, and tables for states that have several."""
+        n = len(self.step)
+        self.only, self.to = array("i", [-1]) * n, array("i", [-1]) * n
+        self.more: dict[int, dict[int, int]] = {}
+        for v, step in enumerate(self.step):
+            if len(step) == 1:
+                ((self.only[v], self.to[v]),) = step.items()
+            elif step:
+                self.more[v] = step
+        del self.step
+        self.link, self.length = array("i", self.link), array("i", self.length)
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged [start, end) word spans that windows cover, and the items they come from."""
@@ -118,30 +141,33 @@ class SuffixAutomaton:
         return spans, found
 
     def _run(self, ids: list, start: int, end: int, spans: list, found: set) -> None:
-        step, link, length, window, whole = self.step, self.link, self.length, self.window, self.whole
-        v = n = 0
+        only, to, more, link, length, window, whole = self.only, self.to, self.more, self.link, self.length, self.window, self.whole
+        v = n = last = 0
         for i in range(start, end):
             c = ids[i]
-            q = step[v].get(c)
-            while q is None and v:
+            while True:
+                q = to[v] if only[v] == c else more[v].get(c, -1) if v in more else -1
+                if q >= 0 or not v:
+                    break
                 v = link[v]
                 n = length[v]
-                q = step[v].get(c)
-            if q is None:
+            if q < 0:
                 continue
             v, n = q, n + 1
             hit = 0
             if n >= window:
                 hit = window
-                found |= self.which[self._window_state(v)]
-            if whole:
-                u = v
-                while u > 0:
-                    for m, key in whole.get(u, ()):
-                        if m <= n:
-                            hit = max(hit, m)
-                            found.add(key)
-                    u = link[u]
+                w = self.reduced[v]
+                if w != last:
+                    items, last = self.which[w], w
+                    found.update(items if isinstance(items, set) else (items,))
+            u = self.short[v] if whole else 0
+            while u:  # at most one state for each length below the window
+                for m, keys in whole[u].items():
+                    if m <= n:
+                        hit = max(hit, m)
+                        found |= keys
+                u = self.short[link[u]]
             if hit:
                 s = i + 1 - hit
                 while spans and spans[-1][1] >= s:
@@ -168,39 +194,47 @@ def _parts(items: DataFrame, window: int, part_words: int) -> Iterator[SuffixAut
 
 
 #: Columns that match() adds; their names leave those of the documents free.
-FOUND = ("__n_words", "__spans", "__items")
+FOUND = ("__n_words", "__spans", "__items", "__left")
+_FOUND = pa.struct([("n", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("left", pa.string())])
 
 
-def match(docs: DataFrame, items: DataFrame, keep: list[str], window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
-    """The columns `keep` of docs with the columns FOUND: number of words, spans (flat [start, end) word offsets)
-    and items found.
+def match(docs: DataFrame, items: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS, min_words: int | None = None) -> DataFrame:
+    """docs with the columns FOUND: number of words, spans (flat [start, end) word offsets), items found and, with
+    min_words, what cut() leaves of a text with spans, else null.
 
-    Null and empty texts have no words and no hits. An item without words is never found; items
-    that share an id count as one; a null id is shown as "". Repeated documents each get a row.
-    Columns of docs other than `keep` and text are ignored, whatever their names.
+    Null and empty texts have no words and no hits; very long ones are read whole. An item without words is
+    never found; items that share an id count as one; a null id is shown as "". Repeated documents each get a
+    row. Other columns of docs pass by, whatever their names and kinds, but for those named in FOUND.
     """
-    spark = docs.sparkSession
-    kinds = dict(docs.dtypes)
-    names = [*dict.fromkeys([*keep, "text"])]
-    df = spread(docs.select(*names, F.lit(0).cast("long").alias(FOUND[0]), F.array().cast("array<int>").alias(FOUND[1]), F.array().cast("array<string>").alias(FOUND[2])))
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"{FOUND[0]} long, {FOUND[1]} array<int>, {FOUND[2]} array<string>"])
+    spark, df, parts = docs.sparkSession, spread(docs), []
+
+    def through(df: DataFrame, parts: list, first: bool, last: bool) -> DataFrame:
+        def scan(texts, *before):
+            n, spans, found, left = [], [], [], []
+            for k, text in enumerate(binary_of(texts)):
+                words = words_of(text)
+                at, names = ([], set()) if first else (before[0][k].as_py(), set(before[1][k].as_py()))
+                at = [*zip(at[::2], at[1::2], strict=True)]
+                for part in parts:
+                    s, f = part.value.scan(words)
+                    at += s
+                    names |= f
+                n.append(len(words))
+                spans.append([x for p in merged(at) for x in p])
+                found.append(sorted(names))
+                left.append(cut(text, spans[-1], min_words).decode("utf-8", "replace") if last and min_words is not None and at else None)
+            return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string())), pa.array(left, pa.string())], fields=list(_FOUND))
+
+        had = [] if first else [F.col(FOUND[1]), F.col(FOUND[2])]
+        out = df.withColumn("__found", arrow_column(df, scan, "struct<n: long, spans: array<int>, items: array<string>, left: string>", F.col("text"), *had))
+        return out.withColumns({name: F.col(f"__found.{part}") for name, part in zip(FOUND, ("n", "spans", "items", "left"), strict=True)}).drop("__found")
+
+    first = True
     for automaton in _parts(items, window, part_words):
-        sent = spark.sparkContext.broadcast(automaton)
-
-        def scan(batches, sent=sent):
-            a = sent.value
-            for b in batches:
-                n, spans, found = [], [], []
-                for text, s0, f0 in zip(binary_of(b["text"]), b[FOUND[1]].to_pylist(), b[FOUND[2]].to_pylist(), strict=True):
-                    words = words_of(text)
-                    s, f = a.scan(words)
-                    n.append(len(words))
-                    spans.append([x for p in merged([*zip(s0[::2], s0[1::2], strict=True), *s]) for x in p])
-                    found.append(sorted({*f0, *f}))
-                yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], names=[*names, *FOUND])
-
-        df = arrow_map(df, scan, schema)
-    return df
+        if len(parts) == PASS_PARTS:
+            df, parts, first = settle(through(df, parts, first, False), "matched"), [], False
+        parts.append(spark.sparkContext.broadcast(automaton))
+    return through(df, parts, first, True)
 
 
 def _hit_words():
@@ -235,28 +269,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_w
     """docs without benchmark passages: spans of at least min_words hit words are cut out of the text;
     a document of which more than max_coverage of the words are hit goes as a whole.
 
-    Documents without hits come back as they are, null and empty ones too.
+    Documents without hits come back as they are, null and empty ones too. A match is a window of `window`
+    words, or a whole item if it has fewer, so the length limit is `window` unless min_words is larger.
     """
-    kinds = dict(docs.dtypes)
-    names = docs.columns
-    df = match(docs, items, names, window).where(_hit_words() <= F.col(FOUND[0]) * F.lit(max_coverage))
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
-
-    def clean(batches):
-        for b in batches:
-            texts = b["text"].cast(pa.binary()).to_pylist()
-            for i, s in enumerate(b[FOUND[1]].to_pylist()):
-                if s:
-                    texts[i] = cut(texts[i], s, min_words)
-            text = pa.array([None if t is None else t.decode("utf-8", "replace") for t in texts], b.schema.field("text").type)
-            yield pa.RecordBatch.from_arrays([text if c == "text" else b[c] for c in names], names=names)
-
-    return arrow_map(df, clean, schema)
+    df = match(docs, items, window, min_words=min_words).where(_hit_words() <= F.col(FOUND[0]) * F.lit(max_coverage))
+    return df.withColumn("text", F.coalesce(FOUND[3], "text")).select(*docs.columns)
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document: words, hit words and the items found, as a digest."""
-    found = match(docs, items, ["doc_id"]).select(
+    found = match(docs.select("doc_id", "text"), items).select(
         "doc_id",
         F.col(FOUND[0]).alias("n_words"),
         _hit_words().alias("n_hit"),

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import arrow_map, binary_of, settle, spread
+from citeloom.llm.common import CACHES, arrow_map, binary_of, settle, spread
 from citeloom.llm.stars import linked, stars
 
 SHINGLE = 5
@@ -51,6 +51,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+CACHES.append(_hashes)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import arrow_map, binary_of, spread
+from citeloom.llm.common import CACHES, arrow_column, arrow_map, binary_of, spread
 
 TRAIN_ROWS = 12_000
 FOLDS = 5
@@ -48,6 +48,7 @@ class _Slots(dict):
 
 
 _slots = _Slots()
+CACHES.append(_slots)
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -91,14 +92,24 @@ class FactorisationMachine:
         at = np.concatenate([slots, np.arange(STATS) + WORD_SLOTS + CLASS_SLOTS])
         return at, np.concatenate([np.full(len(slots), 1 / np.sqrt(len(slots))), x / 4])
 
-    def raw(self, at: np.ndarray, x: np.ndarray) -> float:
+    def raw(self, at: np.ndarray, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Values before the logistic function of the rows that begin at `starts` of the slots and their values."""
         u = self.v[at] * x[:, None]
-        s = u.sum(axis=0)
-        return self.bias + self.w[at] @ x + 0.5 * (s @ s - np.einsum("ij,ij->", u, u))
-
-    def score(self, slots: np.ndarray, stats: np.ndarray) -> float:
-        z = self.raw(*self.row(slots, stats))
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        s = np.add.reduceat(u, starts, axis=0)
+        return self.bias + np.add.reduceat(self.w[at] * x, starts) + 0.5 * (np.square(s).sum(axis=1) - np.add.reduceat(np.square(u).sum(axis=1), starts))
+
+    def scores(self, texts: list[bytes], most: int = 100_000) -> np.ndarray:
+        """Scores of the texts, put together to groups of about `most` slots."""
+        found, rows, size = [np.empty(0)], [], 0
+        for k, text in enumerate(texts):
+            rows.append(self.row(*features(text)))
+            size += len(rows[-1][0])
+            if size > most or k == len(texts) - 1:
+                sizes = np.array([len(r[0]) for r in rows])
+                z = self.raw(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), np.cumsum(sizes) - sizes)
+                found.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+                rows, size = [], 0
+        return np.concatenate(found)
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.08, decay: float = 1e-5) -> FactorisationMachine:
         """Minibatches with per-weight step sizes; rows in a fixed shuffled order."""
@@ -150,8 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Factori
     n = known.count()
     if not n:
         return FactorisationMachine().fit([], np.empty(0))
-    limit = int(min(1.0, rows / n) * 1_000_000)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < limit)
+    limit = min(1.0, rows / n) * 2.0**53  # a share of all hashes, however small
+    drawn = known.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(3)), 11) < F.lit(limit))
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "quality")  # bounded by `rows`
 
     def extract(batches):
@@ -169,26 +180,20 @@ SCORE = "__quality_score"
 
 
 def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
-    """docs with the column SCORE. Null and empty texts have a score too, from their statistics."""
-    names, kinds = docs.columns, dict(docs.dtypes)
+    """docs with the column SCORE. Null and empty texts have a score too, from their statistics; very long texts
+    are read whole; rows that repeat an id are scored one by one. Only texts go to Python, so columns of any other
+    names and kinds pass by untouched; one named SCORE is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        m = sent.value
-        for b in batches:
-            scores = [m.score(*features(t)) for t in binary_of(b["text"])]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*names, SCORE])
-
-    return arrow_map(spread(docs), run, ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"{SCORE} double"]))
+    return docs.withColumn(SCORE, arrow_column(docs, lambda text: pa.array(sent.value.scores(binary_of(text)), pa.float64()), "double", F.col("text")))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs. Labels of other folds only are learnt; without
     any the score is 0.5. Null ids are not held out. Other columns, lang and source among them, are ignored."""
-    out = score(docs.select("doc_id", "text"), train(docs, labels))
+    out = score(spread(docs.select("doc_id", "text")), train(docs, labels))
     return out.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score the threshold or more, with their columns."""
-    return score(docs, train(docs, labels)).where(F.col(SCORE) >= threshold).drop(SCORE)
+    return score(spread(docs), train(docs, labels)).where(F.col(SCORE) >= threshold).drop(SCORE)

@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +25,17 @@ MAX_ROUNDS = 2
 
 
 def _around_centres(batches):
-    """Of rows sorted by bucket and id: those of buckets of two or more, with the bucket's first row as centre."""
+    """Of rows sorted by bucket and id: those of buckets of two ids or more, once each, with the first one as centre."""
     last, centre, waiting = None, None, None  # bucket and first row of the group at hand; that row, while it is alone
+    before = None  # bucket and id of the last row
     for b in batches:
+        if not b.num_rows:
+            continue
+        ids, buckets = b["id"], b["bucket"]
+        again = pc.and_(pc.equal(ids[1:], ids[:-1]), pc.equal(buckets[1:], buckets[:-1]))
+        first = pa.array([(buckets[0].as_py(), ids[0].as_py()) != before])
+        before = buckets[-1].as_py(), ids[-1].as_py()
+        b = b.filter(pa.concat_arrays([first, pc.invert(again)]))
         n = b.num_rows
         if not n:
             continue
@@ -57,8 +66,8 @@ _STAR = ["bucket", "id", "n", "centre", "centre_n"]
 
 
 def stars(rows: DataFrame) -> DataFrame:
-    """bucket, id, n, centre, centre_n of the rows (bucket long, id, n) whose bucket has others; one shuffle,
-    sorted, and constant memory however large a bucket is."""
+    """bucket, id, n, centre, centre_n of the rows (bucket long, id, n) whose bucket has other ids, repeated rows
+    once; one shuffle, sorted, and constant memory however large a bucket is."""
     kinds = dict(rows.dtypes)
     dealt = rows.select("bucket", "id", "n").repartition("bucket").sortWithinPartitions("bucket", "id")
     return settle(arrow_map(dealt, _around_centres, f"bucket long, id {kinds['id']}, n {kinds['n']}, centre {kinds['id']}, centre_n {kinds['n']}"), "stars")

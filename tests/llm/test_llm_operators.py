@@ -231,9 +231,12 @@ def test_short_lines_and_lines_without_spaces_stay_once(spark):
     assert got == {1: [], 2: [0, 2], 3: [0]}
 
 
-def test_line_texts_by_join_and_by_broadcast_agree(spark, docs, monkeypatch):
+def test_lines_do_not_depend_on_tasks_bitmaps_and_hot_keys(spark, docs, monkeypatch):
     want = {r["doc_id"]: r["dropped"] for r in L.line_report(docs).collect()}
-    monkeypatch.setattr(L, "SENT_KEYS", 0)
+    docs = docs.repartition(7)
+    monkeypatch.setattr(L, "WANTED_BITS", 1 << 15)
+    monkeypatch.setattr(L, "HOT", 1.0)
+    monkeypatch.setattr(L, "REMEMBERED", 3)
     monkeypatch.setattr(C, "ONE_TASK", 0)
     assert want == {r["doc_id"]: r["dropped"] for r in L.line_report(docs).collect()}
 
@@ -310,7 +313,7 @@ def brute_windows(texts, items):
     return out
 
 
-def test_decontamination_equals_brute_force(spark, docs, odd, none, texts):
+def test_decontamination_equals_brute_force(spark, docs, odd, none, texts, monkeypatch):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     plain = [tuple(r) for r in items.collect()]
     got = {r["doc_id"]: tuple(r)[1:5] for r in D.report(docs, items).collect()}
@@ -322,8 +325,11 @@ def test_decontamination_equals_brute_force(spark, docs, odd, none, texts):
     bench = spark.createDataFrame(short, "item_id long, text string")
     want = brute_windows(small, short)
     assert {x["doc_id"]: tuple(x)[1:5] for x in D.report(df, bench).collect()} == want
-    parts = D.match(df, bench, ["doc_id"], part_words=20).collect()  # several automata
+    parts = D.match(df, bench, part_words=20).collect()  # several automata, in one pass and in several
     assert {x["doc_id"]: len(x["__items"]) for x in parts} == {k: v[2] for k, v in want.items()}
+    monkeypatch.setattr(D, "PASS_PARTS", 2)
+    passes = D.match(df, bench, part_words=20).collect()
+    assert {x["doc_id"]: (x["__spans"], x["__items"]) for x in passes} == {x["doc_id"]: (x["__spans"], x["__items"]) for x in parts}
     assert D.report(odd, items).count() == odd.count() and D.report(none, items).count() == 0
     assert D.report(docs, items.where("false")).where("contaminated").count() == 0
     clean = D.decontaminate(docs, items)
@@ -423,9 +429,10 @@ def test_quality_by_held_out_accuracy(spark, odd, none):
 def test_factorisation_identity():
     m = Q.FactorisationMachine()
     m.v = np.random.default_rng(1).normal(0, 1, m.v.shape)
-    at, x = np.array([1, 5, 9, 70000]), np.array([0.5, 1.0, -2.0, 0.3])
+    at, x = np.array([1, 5, 9, 65000]), np.array([0.5, 1.0, -2.0, 0.3])
     pairs = sum(m.v[at[i]] @ m.v[at[j]] * x[i] * x[j] for i in range(4) for j in range(i))
-    assert m.raw(at, x) == pytest.approx(m.bias + m.w[at] @ x + pairs)
+    one = m.bias + m.w[at] @ x + pairs
+    assert m.raw(np.tile(at, 2), np.tile(x, 2), np.array([0, 4])) == pytest.approx([one, one])
 
 
 def test_similar_equals_the_plain_rule():
@@ -451,3 +458,10 @@ def test_states_stay_while_a_long_text_is_counted():
 def test_captions_in_the_article_stay():
     page = "<html><body><nav>Menu here</nav><article><p>The text of the article.</p><figure><img src='x'><figcaption>What the picture shows.</figcaption></figure></article></body></html>"
     assert "What the picture shows." in H.main_text(page) and "Menu" not in H.main_text(page)
+
+
+def test_automaton_takes_long_runs_of_one_word():
+    words = [b"a"] * 30_000
+    a = D.SuffixAutomaton([("1", words[:2000]), ("2", [b"a", b"b"]), ("3", [b"a"])], 10)
+    spans, found = a.scan([*words, b"b"])
+    assert spans == [(0, 30_001)] and found == {"1", "2", "3"}
