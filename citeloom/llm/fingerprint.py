@@ -5,59 +5,108 @@ The lexicon holds the terms whose share of all documents lies in [LOW, HIGH], th
 document frequency lies in [ln 1/HIGH, ln 1/LOW]. At most (mean distinct terms of a document) / LOW
 terms can be so frequent, whatever the size of the corpus; that bounds what is broadcast.
 
+Terms are counted in two passes: a term of the band has the share LOW of at least one part of the corpus, so
+the first pass names, part by part, the terms that may be in it, and the second counts just these. So rare
+terms, which are most, are never shuffled. The second pass knows its terms by a broadcast whose size is
+checked; where it would be too large they meet the counts in a join.
+
 A single hash of all terms changes with any of them. Each of SUBSETS random subsets keeps a term with
-probability 2^-level, and is hashed by itself: an edit leaves the hashes of those subsets that hold none
-of the terms it touches. The level follows the number of lexicon terms, so that a subset meets about
-half a term; hashes of the level on either side are kept too, as the level of an edited text may differ.
+probability 2^-level, and its sorted distinct terms are hashed in their order: an edit leaves the hashes of
+those subsets that hold none of the terms it touches. The level follows the number of terms, so that a subset
+meets about half a term; hashes of the levels on either side are kept too, as that of an edited text may differ.
 
-A text with few lexicon terms is fingerprinted by all its terms, one without terms by the text itself.
+A text with fewer than FEW lexicon terms has a second part, the same of all its terms (of the text itself, if it
+has none). Two texts are compared by their second parts if both have one, else by their lexicon terms: by one
+basis for any two texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import arrow_map, binary_of, spread
+from citeloom.llm.common import arrow_map, binary_of, settle, spread
 
 LOW, HIGH = 1 / 2000, 1 / 20
 SUBSETS = 32
 MAX_LEVEL = 20
-#: Texts with fewer lexicon terms are fingerprinted by all their terms.
-MIN_TERMS = 8
-EMPTY = "...."
+#: Texts with fewer lexicon terms are fingerprinted by all their terms as well.
+FEW = 8
+DIGITS = 8
+EMPTY = "." * DIGITS
+#: Terms that may be of the band are sent to all tasks up to this number.
+SENT_TERMS = 2_000_000
 
 
 def terms_of(text: str) -> set[bytes]:
     return set(text.encode().lower().split())
 
 
-def _frequencies(batches):
-    """Documents that hold each term, summed over the task's rows in bounded tables."""
-    from collections import Counter
+#: Documents of a part of the corpus in which terms are counted, at least; the last part of a task may be smaller.
+PART_ROWS = 20_000
+
 
-    held: Counter = Counter()
+def _possible(low: float):
+    """Terms that have at least the share `low` of some part of a task's rows."""
+
+    def run(batches):
+        held: Counter = Counter()
+        rows = 0
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([w for w, n in held.items() if n >= low * rows], pa.binary())], names=["term"])
 
-    for b in batches:
-        for text in binary_of(b["text"]):
-            held.update(set(text.lower().split()))
-            if len(held) > 400_000:
+        for b in batches:
+            for text in binary_of(b["text"]):
+                held.update(set(text.lower().split()))
+                rows += 1
+            if rows >= PART_ROWS or len(held) > 600_000:
                 yield out()
                 held.clear()
-    yield out()
+                rows = 0
+        yield out()
+
+    return run
+
+
+def _counts(known):
+    """Documents that hold each term, of the known terms if there are any given."""
+
+    def run(batches):
+        only = None if known is None else known.value
+        held: Counter = Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
+
+        for b in batches:
+            for text in binary_of(b["text"]):
+                terms = set(text.lower().split())
+                held.update(terms if only is None else terms & only)
+                if len(held) > 400_000:
+                    yield out()
+                    held.clear()
+        yield out()
+
+    return run
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> list[bytes]:
     """The terms of the band, sorted; document frequencies cover all rows of docs."""
     n = docs.count()
-    counts = arrow_map(spread(docs.select("text")), _frequencies, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    texts = spread(docs.select("text"))
+    possible = settle(arrow_map(texts, _possible(low), "term binary").distinct(), "possible")
+    few = possible.limit(SENT_TERMS + 1).count() <= SENT_TERMS
+    sent = docs.sparkSession.sparkContext.broadcast({bytes(r[0]) for r in possible.toLocalIterator()}) if few else None
+    counts = arrow_map(texts, _counts(sent), "term binary, n long")
+    if not few:
+        counts = counts.join(possible, "term", "left_semi")
+    counts = counts.groupBy("term").agg(F.sum("n").alias("n"))
     return sorted(bytes(r[0]) for r in counts.where((F.col("n") >= low * n) & (F.col("n") <= high * n)).select("term").toLocalIterator())
 
 
@@ -86,31 +135,37 @@ class Fingerprinter:
         self._hash = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
         self._deep = self._depth(self._hash)
 
-    def fingerprint(self, text: str) -> str:
-        """Three levels, each of SUBSETS hashes of four hex digits, or EMPTY where no term was kept.
+    def _part(self, hashes: np.ndarray, deep: np.ndarray) -> list[str]:
+        """The first level, then three levels of SUBSETS hashes, of DIGITS hex digits or EMPTY where no term was kept.
 
-        A subset's hash is the sum of mixed term hashes over its sorted distinct terms: equal sets, equal hashes.
+        hashes are of distinct terms in sorted order. A subset's hash is a polynomial over those it keeps, in that
+        order: each is multiplied by a number of its place among them.
         """
+        first = max(0, min(MAX_LEVEL, len(hashes).bit_length()) - 1)
+        out = [f"{first:02d}"]
+        with np.errstate(over="ignore"):
+            mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+            for at in range(first, first + 3):
+                kept = deep >= at
+                rank = np.cumsum(kept, axis=0, dtype=np.uint64)
+                place = (rank * np.uint64(0x9E3779B97F4A7C15) ^ (rank << np.uint64(17))) | np.uint64(1)
+                total = np.where(kept, mixed[:, None] * place, np.uint64(0)).sum(axis=0, dtype=np.uint64)
+                short = ((total ^ (total >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 4 * DIGITS)).tolist()
+                out.append("".join([f"{x:0{DIGITS}x}" if k else EMPTY for x, k in zip(short, kept.any(axis=0).tolist(), strict=True)]))
+        return out
+
+    def fingerprint(self, text: str) -> str:
+        """The part of the lexicon terms and, if these are fewer than FEW, that of all terms; equal texts, equal parts."""
         import xxhash
 
         if self._at is None:
             self._open()
         terms = terms_of(text)
         known = sorted(i for i in map(self._at.get, terms) if i is not None)
-        if len(known) >= MIN_TERMS:
-            hashes, deep = self._hash[known], self._deep[known]
-        else:
+        out = self._part(self._hash[known], self._deep[known]) if known else ["00"]
+        if len(known) < FEW:
             hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in sorted(terms) or [b"\x00" + text.encode()]], np.uint64)
-            deep = self._depth(hashes)
-        first = max(0, min(MAX_LEVEL, len(hashes).bit_length()) - 1)
-        out = [f"{first:02d}"]
-        with np.errstate(over="ignore"):
-            mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-            for at in range(first, first + 3):
-                kept = deep >= at
-                total = np.where(kept, mixed[:, None], np.uint64(0)).sum(axis=0, dtype=np.uint64)
-                short = ((total ^ (total >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).tolist()
-                out.append("".join([f"{x:04x}" if k else EMPTY for x, k in zip(short, kept.any(axis=0).tolist(), strict=True)]))
+            out += ["+", *self._part(hashes, self._depth(hashes))]
         return ":".join(out)
 
 
@@ -118,14 +173,18 @@ def likeness(a: str, b: str) -> float:
     """Share of equal hashes among the subsets that hold a term of either text, at the levels both have."""
     if a == b:
         return 1.0
-    x, y = a.split(":"), b.split(":")
+    x, _, all_x = a.partition(":+:")
+    y, _, all_y = b.partition(":+:")
+    if all_x and all_y:
+        x, y = all_x, all_y
+    x, y = x.split(":"), y.split(":")
     p = {int(x[0]) + i: h for i, h in enumerate(x[1:])}
     q = {int(y[0]) + i: h for i, h in enumerate(y[1:])}
     same = both = 0
     for level in p.keys() & q.keys():
         u, v = p[level], q[level]
-        for i in range(0, 4 * SUBSETS, 4):
-            s, t = u[i : i + 4], v[i : i + 4]
+        for i in range(0, DIGITS * SUBSETS, DIGITS):
+            s, t = u[i : i + DIGITS], v[i : i + DIGITS]
             if s != EMPTY or t != EMPTY:
                 both += 1
                 same += s == t
@@ -137,8 +196,9 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-#: Rows of a bucket of neighbouring ids in which documents meet the next one, and most buckets.
-BUCKET_ROWS, MAX_BUCKETS = 250, 20_000
+#: Rows of a bucket of neighbouring ids in which documents meet the next one, and most buckets: their bounds are
+#: held on the driver. A bucket is read in a stream, so one of more rows takes longer but no more memory.
+BUCKET_ROWS, MAX_BUCKETS = 250, 200_000
 _NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
