@@ -266,6 +266,6 @@ def test_two_round_identification_takes_every_customer(spark, tmp_path):
 def test_wrappers_around_an_answer():
     assert G.trivial("```text\nSome words here.\n```") == "Some words here."
     assert G.trivial("> One line\n>\n> and more") == "One line\nand more"
-    assert G.trivial("12 ) stays") == ") stays" and G.trivial("1234 stays") == "1234 stays" and G.trivial("7. goes") == "goes"
+    assert G.trivial("12 )stays") == ")stays" and G.trivial("12 ) goes") == "goes" and G.trivial("1234 stays") == "1234 stays" and G.trivial("7. goes") == "goes"
     assert G.trivial("Words of it.\nJohn 3:16 (NIV)") == "Words of it." and G.trivial("3:16") == "3:16"
     assert G.trivial("Words (a [b] c)") == "Words (a [b] c)" and G.trivial("") == ""
