@@ -27,6 +27,7 @@ from citeloom.llm.common import arrow_map, binary_of, settle, shared_dir, spread
 
 FRAME_BYTES = 256 * 1024
 ARCHIVE_BYTES = 256 * 1024 * 1024
+READ_BYTES = 128 << 20  # uncompressed, of a task that reads back
 LEVEL = 3
 #: Fixed values of the seekable format: magic numbers of the skippable frame and of its footer.
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -212,7 +213,10 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([b["page_id"], *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))], names=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
 
-    dealt = index.repartition("archive", "frame").sortWithinPartitions("archive", "frame", "at")
+    # the index is tiny beside what it names, so the tasks are counted from the bytes to read
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).head()[0]
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // READ_BYTES))
+    dealt = index.repartitionByRange(tasks, "archive", "frame").sortWithinPartitions("archive", "frame", "at")
     out = arrow_map(dealt, run, f"page_id {kind}, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary")
     return out.withColumn("refers_to", F.col("refers_to").cast(kind))
 

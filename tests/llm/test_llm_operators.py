@@ -479,6 +479,39 @@ def test_main_text(spark, none):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def _texts(spark, pages):
+    rows = [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_equal_pages_and_repeated_rows_are_no_template(spark):
+    one = "<html><body><nav>Menu</nav><article><h1>A title</h1><p>The only text of it.</p></article></body></html>"
+    assert set(_texts(spark, [one] * 6).values()) == {"A title The only text of it."}
+    bare = "<html><body><div>Top line</div><p>Own words {i}</p><div>Last line</div></body></html>"
+    twice = [bare.format(i=i) for i in (0, 0, 1, 1, 2, 2)]  # three contents are too few, however often they come
+    assert _texts(spark, twice)[4] == "Top line Own words 2 Last line"
+
+
+def test_near_copies_keep_their_article(spark):
+    page = "<html><body><nav>Menu</nav><article><p>A standing first paragraph of the series.</p><p>Day {i}</p></article><footer>End</footer></body></html>"
+    got = _texts(spark, [page.format(i=i) for i in range(9)])
+    assert got == {i: f"A standing first paragraph of the series. Day {i}" for i in range(9)}
+
+
+def test_template_decides_without_an_article(spark):
+    page = "<html><body><div>The daily example</div><div><h1>Head {i}</h1><p>Text of page {i}.</p></div><p>All rights reserved</p></body></html>"
+    pages = [page.format(i=i) for i in range(8)]
+    assert _texts(spark, pages)[5] == "Head 5 Text of page 5." != H.main_text(pages[5])
+
+
+def test_markup_that_swallows_nothing():
+    assert H.main_text("<p title=it's>Hello world</p><p>I don't know</p><p>End</p>") == "Hello world I don't know End"
+    assert H.main_text("<p title='a > b' data-x=1'2>One</p><p lang = \"en\">Two</p>") == "One Two"
+    kept = "<article><p class='related'>A</p><div class='header-image'>B</div><div class=search-result>C</div>"
+    assert H.main_text(kept + "<div class='related'>D</div><p class=ad>E</p><div id=comments>F</div><div class='site-footer'>G</div></article>") == "A B C"
+    assert H.main_text("<div>" * 20_000 + "deep" + "</b>" * 20_000) == "deep"
+
+
 def test_main_text_of_all_pages(spark):
     import html
 
