@@ -427,7 +427,9 @@ def test_language_model_counts_and_gains(spark, docs, odd, none, texts):
         assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 10 == 0)
     held = [r for r in got.values() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    assert all(r["spelled_score"] < r["score"] for r in got.values() if r["n_known"] < r["n_tokens"])
     o = {r["doc_id"]: r for r in LM.score(odd).collect()}
+    assert all(math.isfinite(r["spelled_score"]) for r in o.values())
     assert o[0]["n_tokens"] == 1 and all(math.isfinite(r["score"]) for r in o.values()) and LM.score(odd).count() == odd.count()
     assert LM.score(none).count() == 0
 
@@ -443,6 +445,57 @@ def test_seating_predicts_a_distribution():
         assert s.predict().sum(axis=1) == pytest.approx(np.ones(6)) and (s.predict() > 0).all()
 
 
+def test_seating_follows_its_law():
+    s = LM.Seating(np.array([[1, 0], [0, 0]]))
+    three = np.bincount(s._tables(np.full(50_000, 3), np.full(50_000, 0.1), 0.5).astype(int)) / 50_000
+    assert three[1:] == pytest.approx(np.array([0.075, 0.015, 0.001]) / 0.091, abs=0.01)  # S(3, t) w ** t by hand
+    for n, w, d in ((30, 0.5, 0.8), (64, 3.0, 0.6)):
+        t = np.arange(1, n + 1)
+        law = LM.log_stirling(n, d)[n, 1:] + t * np.log(w)
+        law = np.exp(law - law.max())
+        assert s._tables(np.full(20_000, n), np.full(20_000, w), d).mean() == pytest.approx((law * t).sum() / law.sum(), rel=0.03)
+    for n, w, d in ((100, 0.5, 0.8), (400, 2.0, 0.5), (1000, 30.0, 0.7), (1500, 300.0, 0.5)):  # in blocks: near it
+        t = np.arange(1, n + 1)
+        law = LM.log_stirling(n, d)[n, 1:] + t * np.log(w)
+        law = np.exp(law - law.max())
+        assert s._crowds(np.full(2000, n), np.full(2000, w), d).mean() == pytest.approx((law * t).sum() / law.sum(), rel=0.25)
+
+
+def test_spelling_is_a_distribution_over_words():
+    words = [b"abc", b"abd", b"x", b"bca", "café".encode()] * 20
+    at = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(int)
+    pairs = np.bincount(at[:-1] * 256 + at[1:], minlength=65_536).reshape(256, 256).astype(float)
+    model = LM.Spelling(pairs)
+    mass = model.classes()
+    assert mass.sum() == pytest.approx(1)
+    assert model.others([b"abc", LM.END]).sum() == pytest.approx(1 - 10 ** model.logs([b"abc"])[0])
+    # words drawn from the chain fall into the classes as often as their mass says
+    rng, seen = np.random.default_rng(0), collections.Counter()
+    for _ in range(20_000):
+        word, x = bytearray(), LM.GAP
+        while (x := int(rng.choice(256, p=model.chain[x]))) != LM.GAP:
+            word.append(x)
+        seen[LM.spelling_class(bytes(word))] += 1
+    top = np.argsort(-mass)[:20]
+    assert np.array([seen[c] for c in top]) / 20_000 == pytest.approx(mass[top], abs=0.015)
+
+
+def test_all_words_of_a_class_add_up_to_one(spark, docs, texts):
+    """Seen words by the model's own formula, and unseen ones by what the spelling model leaves."""
+    model, counts = LM.train(docs)
+    seen = {bytes(r["word"]): r["n"] for r in counts.collect()}
+    by = collections.defaultdict(list)
+    for w in seen.keys() - set(model.lexicon.dishes):
+        by[LM.spelling_class(w)].append(w)
+    free = model.spelling.others(model.lexicon.dishes)
+    for c, words in list(by.items())[:50]:
+        f = 10 ** model.fresh(words, np.full(len(words), c))
+        n = np.array([seen[w] for w in words])
+        unseen = 10 ** model.room[c] * (1 - (10 ** model.spelling.logs(words)).sum() / free[c])
+        assert ((n - model.discount).sum() + 10 ** model.room[c]) / 10 ** model.norm[c] == pytest.approx(1)
+        assert ((n - model.discount + f).sum() + unseen) / 10 ** model.norm[c] == pytest.approx(1)
+
+
 def test_archives_round_trip(spark, tmp_path):
     rows = [(1, "http://a/1", "same"), (5, "http://a/5", "same"), (3, None, "same"), (2, "http://a/2", None), (4, "u\r\nx", ""), (7, "http://a/7", "é" * 400_000), (8, "h", "one"), (8, "h", "two"), (9, "h", "two")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("to", F.lit(2))
