@@ -204,6 +204,27 @@ def test_hypergeometric_draws(spark):
     assert set(total) <= {13, 14}
 
 
+def test_lines_within_bounds():
+    """Many pairs at once against the plain edit distance: few and many different signs, bounds from none to loose."""
+    from citeloom.llm import lines as L
+
+    rng = random.Random(5)
+    for signs in ("ab", "abcdefgh \u00e9", "".join(chr(0x4E00 + i) for i in range(400)), "".join(chr(0x10000 + i) for i in range(70_000))):
+        pairs = []
+        while len(pairs) < 300:
+            a = rng.choices(signs, k=rng.randint(1, 60))
+            b = list(a)
+            for _ in range(rng.randint(0, 14)):
+                i = rng.randrange(len(b) + 1)
+                b[i : i + rng.randint(0, 1)] = rng.choices(signs, k=rng.randint(0, 1))
+            a, b = sorted(("".join(a), "".join(b)), key=len)
+            most = rng.randint(0, 20)
+            if a and most < len(b) <= len(a) + most:
+                pairs.append((a, b, most))
+        a, b, most = zip(*pairs)
+        assert L._within(list(a), list(b), np.array(most)).tolist() == [L.distance(*x[:2]) <= x[2] for x in pairs]
+
+
 def test_lines_distance():
     r = random.Random(5)
     for _ in range(300):
