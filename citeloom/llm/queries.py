@@ -79,10 +79,33 @@ def op10_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op11_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of nearly equal bytes."""
+    from citeloom.llm.sharding import shard_report
+
+    return shard_report(load(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents drawn towards the benchmark's words, with the weights of all."""
+    from citeloom.llm.resampling import resample
+
+    return resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every damaged conversation. No SQL: a search over edits; tested by brute force."""
+    from citeloom.llm.conversations import structure_report
+
+    return structure_report(load(spark, sf_dir, "conversations"))
+
+
 def _sql() -> dict[str, str]:
     from citeloom.llm.mixing import MIX_SQL
+    from citeloom.llm.resampling import RESAMPLE_SQL
+    from citeloom.llm.sharding import SHARD_SQL
 
-    return {"op3_source_mixing": MIX_SQL}
+    return {"op3_source_mixing": MIX_SQL, "op11_kd_tree_shards": SHARD_SQL, "op12_importance_resampling": RESAMPLE_SQL}
 
 
 SQL: dict[str, str] = _sql()
@@ -99,5 +122,8 @@ QUERIES = {
         op8_factorisation_quality,
         op9_benchmark_decontamination,
         op10_minmax_near_duplicates,
+        op11_kd_tree_shards,
+        op12_importance_resampling,
+        op13_structure_repair,
     )
 }
