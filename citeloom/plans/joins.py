@@ -200,13 +200,13 @@ SQL = {
     "cross_group_candidates": """WITH c AS (SELECT n_regionkey, c_nationkey, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
 s AS (SELECT n_regionkey, s_nationkey, count(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)
 SELECT n_regionkey, c_nationkey, s_nationkey, customers * suppliers AS pairs FROM c JOIN s USING (n_regionkey) WHERE c_nationkey <> s_nationkey""",
-    "sibling_extra_members": """WITH m AS (SELECT DISTINCT s_nationkey, l_suppkey, l_partkey, p_size AS weight FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE p_size <= 3),
-f AS (SELECT DISTINCT s_nationkey, l_suppkey FROM m),
-x AS (SELECT f.l_suppkey, m.l_suppkey AS sibling, m.l_partkey, m.weight FROM f JOIN m ON f.s_nationkey = m.s_nationkey AND f.l_suppkey <> m.l_suppkey
-  WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.l_suppkey = f.l_suppkey AND o.l_partkey = m.l_partkey)),
-n AS (SELECT l_suppkey, sibling, count(*) AS extra FROM x GROUP BY ALL),
-b AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY extra DESC, sibling) AS r FROM n),
-t AS (SELECT x.l_suppkey, x.sibling, b.extra, x.l_partkey, row_number() OVER (PARTITION BY x.l_suppkey ORDER BY weight DESC, l_partkey)::INT AS place FROM x JOIN b USING (l_suppkey, sibling) WHERE b.r = 1)
+    "sibling_extra_members": """WITH m AS (SELECT DISTINCT s_nationkey, l_suppkey, l_partkey, p_size AS weight FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
+k AS (SELECT s_nationkey, l_suppkey, count(*) AS size FROM m GROUP BY ALL),
+c AS (SELECT a.l_suppkey, b.l_suppkey AS sibling, count(*) AS shared FROM m a JOIN m b ON a.s_nationkey = b.s_nationkey AND a.l_partkey = b.l_partkey AND a.l_suppkey <> b.l_suppkey GROUP BY ALL),
+n AS (SELECT a.l_suppkey, b.l_suppkey AS sibling, b.size - coalesce(c.shared, 0) AS extra FROM k a JOIN k b ON a.s_nationkey = b.s_nationkey AND a.l_suppkey <> b.l_suppkey LEFT JOIN c ON c.l_suppkey = a.l_suppkey AND c.sibling = b.l_suppkey),
+b AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY extra DESC, sibling) AS r FROM n WHERE extra > 0),
+t AS (SELECT b.l_suppkey, b.sibling, b.extra, m.l_partkey, row_number() OVER (PARTITION BY b.l_suppkey ORDER BY weight DESC, m.l_partkey)::INT AS place FROM b JOIN m ON m.l_suppkey = b.sibling
+  WHERE b.r = 1 AND NOT EXISTS (SELECT 1 FROM m o WHERE o.l_suppkey = b.l_suppkey AND o.l_partkey = m.l_partkey))
 SELECT * FROM t WHERE place <= 2""",
     "nearest_within_band": f"""WITH {_E}, p AS (SELECT q.user_id, q.event_id AS quote, r.event_id AS ref, CASE WHEN r.s >= q.s AND r.s - q.s <= 21600 THEN 0 ELSE 1 END AS side,
   CASE WHEN r.s >= q.s AND r.s - q.s <= 21600 THEN r.s - q.s ELSE q.s - r.s END AS gap

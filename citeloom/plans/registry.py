@@ -12,9 +12,9 @@ def _add(module) -> None:
 
 
 def _fill() -> None:
-    from citeloom.plans import joins, rounds, scores, texts
+    from citeloom.plans import audit, joins, rounds, scores, texts
 
-    for module in (texts, scores, joins, rounds):
+    for module in (texts, scores, joins, rounds, audit):
         _add(module)
 
 

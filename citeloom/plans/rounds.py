@@ -76,7 +76,7 @@ def tumbling_counts(spark, sf_dir):
 
 def spec_shapes(spark, sf_dir):
     """Languages as translations of a specification: whether all have the same editions."""
-    d = load(spark, sf_dir, "documents").where("n_chars > 200")
+    d = load(spark, sf_dir, "documents")
     return store.same_shape(d, "lang", ["source"])
 
 
@@ -84,7 +84,7 @@ QUERIES = {f.__name__: f for f in (two_round_identification, citation_reality, c
 
 SQL = {
     "two_round_identification": """WITH f AS (SELECT c_custkey, s_suppkey, s_acctbal AS score, c_nationkey <> s_nationkey AS foreign_ FROM customer JOIN nation a ON c_nationkey = a.n_nationkey JOIN supplier ON true JOIN nation b ON s_nationkey = b.n_nationkey
-WHERE c_acctbal > 9000 AND a.n_regionkey = b.n_regionkey),
+WHERE a.n_regionkey = b.n_regionkey),
 h AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, s_suppkey) AS r FROM f WHERE NOT foreign_ AND score >= 6000),
 o AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, s_suppkey) AS r FROM f WHERE foreign_ AND score >= 9000 AND c_custkey NOT IN (SELECT c_custkey FROM h))
 SELECT c_custkey, s_suppkey, score, 1::INT AS round FROM h WHERE r = 1 UNION ALL SELECT c_custkey, s_suppkey, score, 2::INT FROM o WHERE r = 1""",
@@ -102,6 +102,6 @@ SELECT 'headline' AS dim, 'all' AS key, (SELECT round(avg(m), 4) FROM g) AS valu
 UNION ALL SELECT 'lang', lang, round(avg(score), 4) FROM facts GROUP BY lang UNION ALL SELECT 'tier', tier, round(avg(score), 4) FROM facts GROUP BY tier
 UNION ALL SELECT 'all', 'all', round(avg(score), 4) FROM facts UNION ALL SELECT 'loss', cause, round(loss, 6) FROM l WHERE loss > 0""",
     "tumbling_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "spec_shapes": """WITH s AS (SELECT lang, sha256(string_agg(source, chr(10) ORDER BY source)) AS shape FROM (SELECT DISTINCT lang, source FROM documents WHERE n_chars > 200) GROUP BY lang)
+    "spec_shapes": """WITH s AS (SELECT lang, sha256(string_agg(source, chr(10) ORDER BY source)) AS shape FROM (SELECT DISTINCT lang, source FROM documents) GROUP BY lang)
 SELECT lang, shape, (SELECT count(DISTINCT shape) FROM s) = 1 AS same FROM s""",
 }
