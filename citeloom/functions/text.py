@@ -7,6 +7,7 @@ wrapped as Arrow-batched UDFs; what built-ins can say is a Column expression.
 from __future__ import annotations
 
 import ast
+import hashlib
 import json
 import unicodedata
 
@@ -69,6 +70,10 @@ def has_denial(text: str, markers: list[str]) -> bool:
     return any(m and " ".join(m.casefold().split()) in flat for m in markers)
 
 
+def digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def nonspace_length(text: str) -> int:
     return sum(not c.isspace() for c in text)
 

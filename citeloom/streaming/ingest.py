@@ -5,8 +5,15 @@ Windows over event time are an extension; the rest has a batch equivalent with e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+#: State stores that keep what transformWithState needs.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
@@ -16,9 +23,10 @@ def stream(spark: SparkSession, folder: str, schema: str, files_per_trigger: int
     return df.withColumns(naive) if naive else df
 
 
-def once(df: DataFrame, key: str, at: str, delay: str = "1 hour") -> DataFrame:
-    """Rows whose key was not seen within the delay; state is dropped beyond it."""
-    return df.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+def once(df: DataFrame, key: str, at: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """Rows whose key was not seen before. With a time column, keys are forgotten beyond the delay; without one they
+    are kept in the query's state store for good, so that what was done before a restart stays done."""
+    return df.withWatermark(at, delay).dropDuplicatesWithinWatermark([key]) if at else df.dropDuplicates([key])
 
 
 def ingest(df: DataFrame, path: str, checkpoint: str):
@@ -29,23 +37,55 @@ def ingest(df: DataFrame, path: str, checkpoint: str):
 
 
 def gate(df: DataFrame, failed: str, checkpoint: str, max_share: float = 0.2, at_least: int = 40) -> list[bool]:
-    """Health after each micro-batch over all rows so far; stops the stream at the first failure."""
+    """Health after each micro-batch over all rows so far; stops the stream at the first failure. The totals are a
+    streaming aggregate: they live in the state store under the checkpoint and go on after a restart."""
     said: list[bool] = []
-    seen = {"errors": 0, "total": 0}
+    totals = df.groupBy().agg(F.count_if(F.col(failed)).alias("errors"), F.count("*").alias("total"))
 
     def look(batch: DataFrame, _: int) -> None:
-        errors, total = batch.agg(F.count_if(F.col(failed)), F.count("*")).head()
-        seen["errors"] += errors
-        seen["total"] += total
-        said.append(seen["total"] < at_least or seen["errors"] <= max_share * seen["total"])
+        errors, total = batch.head() or (0, 0)
+        said.append(total < at_least or errors <= max_share * total)
         if not said[-1]:
-            raise RuntimeError(f"{seen['errors']} of {seen['total']} failed")
+            raise RuntimeError(f"{errors} of {total} failed")
 
-    q = df.writeStream.foreachBatch(look).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = totals.writeStream.outputMode("complete").foreachBatch(look).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return said
 
 
+class _Encounter(StatefulProcessor):
+    """Turns of one encounter as they come: state is how many counted, and at which it conceded; later ones are ignored."""
+
+    def __init__(self, key: str, kind: str, turn: str, conceded: str) -> None:
+        self.key, self.kind, self.turn, self.conceded = key, kind, turn, conceded
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("encounter", "turns long, reached long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        turns, reached = self.state.get() if self.state.exists() else (0, None)
+        said = sorted((int(t), bool(c)) for frame in rows for t, c in zip(frame[self.turn], frame[self.conceded], strict=True))
+        if reached is None:
+            for turn, conceded in said:
+                turns += 1
+                if conceded:
+                    reached = turn
+                    break
+            self.state.update((turns, reached))
+            yield pd.DataFrame({self.key: [key[0]], "turns": [turns], "turn_reached": pd.array([reached], dtype="Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def encounters(turns: DataFrame, key: str, turn: str, conceded: str) -> DataFrame:
+    """A row for each encounter and micro-batch that adds to it: turns until the first concession, and that turn. After
+    it nothing counts, also across restarts. Turns of an encounter come in order. Needs the RocksDB state store."""
+    kind = dict(turns.dtypes)[key]
+    made = turns.select(key, turn, conceded).groupBy(key)
+    return made.transformWithStateInPandas(_Encounter(key, kind, turn, conceded), f"{key} {kind}, turns long, turn_reached long", "Update", "None")
+
+
 def first_concession(turns: DataFrame, key: str, turn: str, conceded: str) -> DataFrame:
     """For each encounter its turns, and the first at which it conceded (null: never)."""
     return turns.groupBy(key).agg(F.count("*").alias("turns"), F.min(F.when(F.col(conceded), F.col(turn))).alias("turn_reached"))
