@@ -12,9 +12,9 @@ def _add(module) -> None:
 
 
 def _fill() -> None:
-    from citeloom.plans import audit, joins, rounds, scores, summaries, texts
+    from citeloom.plans import audit, joins, questions, rounds, scores, summaries, texts
 
-    for module in (texts, scores, joins, rounds, audit, summaries):
+    for module in (texts, scores, joins, rounds, audit, summaries, questions):
         _add(module)
 
 
