@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def two_rounds(found: DataFrame, span: str, foreign: str, score: str, tie: str, floor: float, foreign_floor: float) -> DataFrame:
     """Best match of each span among its own language's; spans without one are then matched abroad, with a higher floor."""
-    best = lambda df: df.groupBy(span).agg(F.max(F.struct(score, (-F.col(tie)).alias("least"))).alias("b")).select(span, (-F.col("b.least")).alias(tie), F.col(f"b.{score}").alias(score))
+    best = lambda df: df.groupBy(span).agg(F.min_by(tie, F.struct(-F.col(score), F.col(tie))).alias(tie), F.max(score).alias(score))
     home = best(found.where(~F.col(foreign) & (F.col(score) >= floor))).withColumn("round", F.lit(1))
     rest = found.where(F.col(foreign) & (F.col(score) >= foreign_floor)).join(home.select(span), span, "left_anti")
     return home.unionByName(best(rest).withColumn("round", F.lit(2)))
@@ -30,8 +30,7 @@ def aliases(quotes: DataFrame, cited: DataFrame, block: str, key: str, text: str
 
 def best_edition(df: DataFrame, key: str, score: str, edition: str, floor: float) -> DataFrame:
     """The edition that scores best at a known reference, ties to the least, if it reaches the floor."""
-    b = df.where(F.col(score) >= floor).groupBy(key).agg(F.max(F.struct(score, (-F.col(edition)).alias("least"))).alias("b"))
-    return b.select(key, (-F.col("b.least")).alias(edition), F.col(f"b.{score}").alias(score))
+    return df.where(F.col(score) >= floor).groupBy(key).agg(F.min_by(edition, F.struct(-F.col(score), F.col(edition))).alias(edition), F.max(score).alias(score))
 
 
 def cost(calls: DataFrame, prices: DataFrame, key: str) -> DataFrame:
@@ -45,6 +44,17 @@ def ascii_share(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.length(F.regexp_replace(text, r"[^\x00-\x7F]", "")) / F.length(text))
 
 
+def verdict(answer: Column) -> Column:
+    """conceded and reasoning from a referee's answer: a JSON object, else the word by its pattern; what cannot be read
+    fails the job, as no default would be fair to either side."""
+    said, pattern = F.coalesce(F.trim(answer), F.lit("")), r"(?i)\"?conceded\"?\s*[:=]\s*(true|false)"
+    json = F.get_json_object(said, "$.conceded")
+    word = F.when(json.isin("true", "false"), json).otherwise(F.lower(F.nullif(F.regexp_extract(said, pattern, 1), F.lit(""))))
+    read = F.when(word.isNotNull(), word == "true").otherwise(F.raise_error(F.concat(F.lit("unreadable verdict: "), F.substring(said, 1, 200))).cast("boolean"))
+    reason = F.when(json.isNotNull(), F.coalesce(F.get_json_object(said, "$.reasoning"), F.lit(""))).otherwise(said)
+    return F.struct(read.alias("conceded"), F.substring(reason, 1, 400).alias("reasoning"))
+
+
 def explain(grade: Column) -> Column:
     """What a grade means, in a sentence."""
     said = {

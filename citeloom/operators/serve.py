@@ -56,3 +56,12 @@ def distinct_labels(df: DataFrame, key: str, label: str) -> DataFrame:
     """Labels that several keys share get their key appended."""
     shared = df.groupBy(label).agg(F.count("*").alias("__n"))
     return df.join(shared, label).withColumn(label, F.when(F.col("__n") > 1, F.concat_ws(" #", label, F.col(key).cast("string"))).otherwise(F.col(label))).drop("__n")
+
+
+#: Columns of a manifest that its readers do without.
+HEAVY = ("items", "hallucination_items", "theology")
+
+
+def light(manifests: DataFrame) -> DataFrame:
+    """Manifests without their lists of items, which are then not read."""
+    return manifests.drop(*HEAVY)

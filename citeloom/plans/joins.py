@@ -44,8 +44,6 @@ def _marked(spark, sf_dir):
 def nearest_within_band(spark, sf_dir):
     """Each purchase and the nearest click of its user: the first within 6 hours after it, else the last within 3 before."""
     e = _marked(spark, sf_dir).withColumn("end", F.col("start"))
-    kinds = load(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*")).select("event_type")
-    del kinds
     quotes = e.where("event_type = 'purchase'").withColumnRenamed("event_id", "quote")
     refs = e.where("event_type <> 'purchase'").withColumnRenamed("event_id", "ref")
     return R.nearest_reference(quotes, refs, "user_id", "quote", after=21600, before=10800)
@@ -105,15 +103,11 @@ def priority_argmax(spark, sf_dir):
 
 
 def references_times_editions(spark, sf_dir):
-    """References crossed with editions, those an edition lacks dropped: brands by segments that bought them."""
-    ref = load(spark, sf_dir, "part").select("p_brand").distinct()
-    ed = load(spark, sf_dir, "customer").select("c_mktsegment").distinct()
-    pairs = ref.crossJoin(F.broadcast(ed))  # a few dozen names each
+    """References of each edition, those it lacks dropped: brands by segments that bought them, from the purchases alone."""
     li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     had = li.join(o, "l_orderkey").join(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey").join(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
-    n = had.groupBy("p_brand", "c_mktsegment").agg(F.count("*").alias("n"))
-    return pairs.join(n, ["p_brand", "c_mktsegment"]).select("p_brand", "c_mktsegment", "n")
+    return had.groupBy("p_brand", "c_mktsegment").agg(F.count("*").alias("n"))
 
 
 def pair_files_full_outer(spark, sf_dir):

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.functions.text import loose_udf
+from citeloom.session import ship
+
 
 def read_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """One JSON object a line; only a newline ends a line, so other separators of Unicode stay in the text."""
@@ -51,9 +54,17 @@ def same_shape(spec: DataFrame, language: str, parts: list[str]) -> DataFrame:
     return per.crossJoin(F.broadcast(kinds)).select(language, "shape", (F.col("kinds") == 1).alias("same"))  # one row
 
 
-def pinned(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Digest of each text, to be pinned and compared later."""
-    return df.select(key, F.sha2(text, 256).alias("digest"))
+def checked_shape(spec: DataFrame, language: str, parts: list[str]) -> DataFrame:
+    """same_shape; languages of different shapes fail the job."""
+    differ = F.raise_error(F.concat(F.lit("parts differ between languages: "), F.col(language))).cast("boolean")
+    return same_shape(spec, language, parts).withColumn("same", F.when(F.col("same"), True).otherwise(differ))
+
+
+def pinned(df: DataFrame, key: str, text: str, loose: bool = False) -> DataFrame:
+    """Digest of each text, or of its loose form, which no change of presentation alters, to be pinned and compared later."""
+    if loose:
+        ship(df.sparkSession)
+    return df.select(key, F.sha2(loose_udf(text) if loose else F.col(text), 256).alias("digest"))
 
 
 def drift(now: DataFrame, then: DataFrame, key: str) -> DataFrame:

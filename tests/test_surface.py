@@ -98,3 +98,32 @@ def test_encounters_stop_at_the_first_concession_across_restarts(spark, tmp_path
         assert run([(1, 2, True), (1, 3, True), (2, 2, True), (3, 0, False)], 1) == [(1, 3, 2), (3, 1, None)]
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_verdicts_are_read_or_fail(spark):
+    from citeloom.operators.rounds import verdict
+
+    rows = ['{"conceded": true, "reasoning": "it did"}', ' {"reasoning": "held", "conceded": false} ', 'Well, conceded: TRUE as far as I see', '"conceded" = false']
+    got = [tuple(r["v"]) for r in spark.createDataFrame([(x,) for x in rows], "a string").select(verdict(F.col("a")).alias("v")).collect()]
+    assert got == [(True, "it did"), (False, "held"), (True, rows[2]), (False, rows[3])]
+    for bad in (None, "", "it held firm", '{"conceded": "maybe"}'):
+        with pytest.raises(Exception, match="unreadable verdict"):
+            spark.createDataFrame([(bad,)], "a string").select(verdict(F.col("a")).alias("v")).collect()
+
+
+def test_ties_of_any_type_and_shapes(spark):
+    from citeloom.operators import match as M
+    from citeloom.operators import rounds as N
+    from citeloom.sources import store
+
+    found = spark.createDataFrame([("s", 1, 0.9, "kjv", "b"), ("s", 1, 0.9, "asv", "z"), ("s", 1, 0.9, "asv", "c"), ("s", 2, 0.7, "x", "y")], "span string, rank int, similarity double, edition string, passage string")
+    assert sorted(map(tuple, M.best_by_class(found, "span").collect())) == [("s", 1, 0.9, "asv", "c"), ("s", 2, 0.7, "x", "y")]
+    assert [tuple(r) for r in N.best_edition(found, "span", "similarity", "edition", 0.8).collect()] == [("s", "asv", 0.9)]
+    best = M.best_passage(spark.createDataFrame([("d", "one two three four five")], "doc string, text string"), spark.createDataFrame([("p2", "one two three four five"), ("p1", "one two three four five")], "pid string, text string"))
+    assert [tuple(r) for r in best.collect()] == [("d", "p1", 1.0)]
+    a, b = (store.pinned(spark.createDataFrame([(1, t)], "id int, text string"), "id", "text", loose=True).head()["digest"] for t in ("“It  IS so.”", "it is so"))
+    assert a == b
+    spec = spark.createDataFrame([("en", "a"), ("fr", "a"), ("fr", "b")], "language string, part string")
+    with pytest.raises(Exception, match="parts differ"):
+        store.checked_shape(spec, "language", ["part"]).collect()
+    assert store.checked_shape(spec.where("part = 'a'"), "language", ["part"]).count() == 2
