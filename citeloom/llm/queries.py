@@ -17,7 +17,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that are kept elsewhere. No SQL: SimHash blocks; tested by brute force."""
+    """Every document without the lines that are kept elsewhere. No SQL: min-max bands; tested with planted pairs."""
     from citeloom.llm.lines import line_report
 
     return line_report(load(spark, sf_dir, "documents"))
