@@ -28,11 +28,14 @@ def features(text: Column, longest: int = LONGEST) -> Column:
     """All runs of 1 to longest consecutive words, repeats included; none for null."""
     words = F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORDS), F.lit(0))
 
-    def runs(n: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-        return F.when(F.size(words) >= n, every).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(words, *map(runs, range(2, longest + 1))) if longest > 1 else words
+    def runs(w: Column, n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    if longest == 1:
+        return words
+    # as a variable of a lambda the words are split once, not once a run
+    return F.get(F.transform(F.array(words), lambda w: F.concat(w, *(runs(w, n) for n in range(2, longest + 1)))), F.lit(0))
 
 
 def _hashed(text: Column, buckets: int, longest: int) -> Column:
