@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.session import dealt
+
 
 def two_rounds(found: DataFrame, span: str, foreign: str, score: str, tie: str, floor: float, foreign_floor: float) -> DataFrame:
     """Best match of each span among its own language's; spans without one are then matched abroad, with a higher floor."""
@@ -23,9 +25,15 @@ def cited_exists(verdicts: DataFrame, catalogue: DataFrame, keys: list[str]) ->
 def aliases(quotes: DataFrame, cited: DataFrame, block: str, key: str, text: str, similar: Column, at_least: float) -> DataFrame:
     """For each quote the first cited text of its block that is as good as equal: an alias under another number.
     `similar` compares the columns text and other_text."""
-    other = cited.select(block, F.col(key).alias("other"), F.col(text).alias("other_text"))
-    pairs = quotes.join(other, block).where(F.col(key) != F.col("other")).where(similar >= at_least)
-    return pairs.groupBy(key).agg(F.min("other").alias("alias"))
+    # equal texts of a block are compared once, for all their keys: two keys of each text tell the least that is another
+    keys = cited.select(block, F.col(text).alias("other_text"), F.col(key).alias("other")).where(F.col("other").isNotNull()).distinct()
+    nth = F.row_number().over(Window.partitionBy(block, "other_text").orderBy("other"))
+    least = keys.withColumn("nth", nth).where("nth <= 2").groupBy(block, "other_text").agg(F.min("other").alias("first"), F.max(F.when(F.col("nth") == 2, F.col("other"))).alias("second"))
+    pairs = dealt(quotes.select(block, text), block, text).distinct().join(least, block).where(similar >= at_least)
+    pairs = pairs.withColumn("__least", F.min("first").over(Window.partitionBy(block, text)))
+    found = pairs.groupBy(block, text).agg(F.min("first").alias("first"), F.min(F.when(F.col("first") == F.col("__least"), F.col("second")).otherwise(F.col("first"))).alias("second"))
+    named = quotes.where(F.col(key).isNotNull()).join(found, [block, text]).withColumn("alias", F.when(F.col("first") != F.col(key), F.col("first")).otherwise(F.col("second")))
+    return named.where("alias is not null").groupBy(key).agg(F.min("alias").alias("alias"))
 
 
 def best_edition(df: DataFrame, key: str, score: str, edition: str, floor: float) -> DataFrame:
