@@ -13,10 +13,8 @@ from citeloom.tables import load
 
 def neighbours_same_group(spark, sf_dir):
     """Each line of an order with its neighbours in the order: their number, and the largest."""
-    a = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    b = a.select("l_orderkey", F.col("l_linenumber").alias("other"), F.col("l_quantity").alias("other_quantity"))
-    j = a.join(b, "l_orderkey").where("l_linenumber <> other")
-    return j.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("neighbours"), F.max("other_quantity").alias("largest"))
+    a = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return R.others_of_group(a, "l_orderkey", "l_linenumber", "l_quantity").withColumnsRenamed({"n": "neighbours"})
 
 
 def cross_group_candidates(spark, sf_dir):
