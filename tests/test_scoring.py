@@ -5,6 +5,7 @@ import random
 import re
 from functools import lru_cache
 
+import pandas as pd
 import pytest
 
 from citeloom.functions import similarity as S
@@ -162,3 +163,18 @@ def test_two_passes_equal_the_plain_version(spark):
     assert len(have) == len(got) and have == plain(*data, schemes)
     assert {"perfect", "other_language", "wrong_version", "wrong_verse", "no_attempt", "fabricated"} <= {x[0] for x in have.values()} and any(x[5] for x in have.values())
     assert all(sum(r["edit_ops"].values()) >= 0 and (r["edit_ops"] == {"insert": 0, "delete": 0, "replace": 0}) == r["verbatim_loose"] for r in got)
+
+
+def test_a_batch_of_answers_is_aligned_together(monkeypatch):
+    """None of the alignments that grades rest on is done by itself, and the rows are those of single answers."""
+    r = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "in", "the"]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(say(r.randint(1, 30)), say(r.randint(1, 12)), {"edition": [{"key": "2", "text": say(8)}], "neighbour": [{"key": str(k), "text": say(5)} for k in range(3)]}) for _ in range(40)]
+    want = [C.measured(*x) for x in rows]
+    single = []
+    plain = S.align
+    monkeypatch.setattr(S, "align", lambda *x: single.append(x) or plain(*x))
+    got = C._measured.func(*([x[k] for x in rows] for k in (0, 1)), *([x[2][k] for x in rows] for k in ("edition", "neighbour")))
+    pd.testing.assert_frame_equal(got, pd.DataFrame(want, columns=got.columns))
+    assert not single
